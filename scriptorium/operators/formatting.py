@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions import nodes as N
 from scriptorium.functions import text as X
+from scriptorium.operators import styles
 from scriptorium.operators.carry import overlap_join
 
 
@@ -48,3 +50,74 @@ def range_formatting(
     return pairs.groupBy("doc_id", "lo", "hi").agg(
         *[uniform(value).alias(name) for name, value in values.items()]
     )
+
+
+def paragraph_formatting(resolved: DataFrame, levels: DataFrame, runs: DataFrame, names: DataFrame) -> DataFrame:
+    """Resolved formatting of each paragraph and the direct formatting of its runs.
+
+    ``resolved`` comes from ``styles.resolve``, ``levels`` from ``num_levels`` and ``names``
+    holds ``(doc_id, style_id, style_name)``. A paragraph's runs come from one part, so the
+    list is bounded.
+    """
+    number, level = styles.numbering_reference()
+    flat = resolved.withColumns({"num_id": number, "ilvl": level})
+    defined = levels.select(
+        "doc_id", "num_id", F.col("level").alias("ilvl"), "format", "level_text"
+    )
+    run_fields = [c for c in runs.columns if c not in ("doc_id", "part", "idx")]
+    listed = (
+        runs.groupBy("doc_id", "idx")
+        .agg(F.array_sort(F.collect_list(F.struct(*run_fields))).alias("runs"))
+    )
+    joined = (
+        flat.join(defined, ["doc_id", "num_id", "ilvl"], "left")
+        .join(names, ["doc_id", "style_id"], "left")
+        .join(listed, ["doc_id", "idx"], "left")
+    )
+
+    def points(*names: str) -> Column:
+        return N.number(F.coalesce(*[F.col(f"a_{n}") for n in names])) / 20
+
+    def flag(name: str) -> Column:
+        given = F.col(f"e_{name}")
+        return given.isNotNull() & N.is_on(given["val"])
+
+    line = N.number(F.col("a_spacing_line"))
+    rule = F.col("a_spacing_lineRule")
+    fixed = F.coalesce(rule.isin("exact", "atLeast"), F.lit(False))
+    rule_name = (
+        F.when(line.isNull(), F.lit(None).cast("string"))
+        .when(rule == "exact", "exact")
+        .when(rule == "atLeast", "at_least")
+        .otherwise("multiple")
+    )
+    return joined.select(
+        "doc_id",
+        "idx",
+        "text",
+        "in_table",
+        "style_id",
+        "style_name",
+        F.col("e_jc.val").alias("alignment"),
+        F.struct(
+            points("spacing_before").alias("before_pt"),
+            points("spacing_after").alias("after_pt"),
+            F.when(fixed, line / 20).otherwise(line / 240).alias("line"),
+            rule_name.alias("line_rule"),
+        ).alias("spacing"),
+        F.struct(
+            points("ind_left", "ind_start").alias("left_pt"),
+            points("ind_right", "ind_end").alias("right_pt"),
+            points("ind_firstLine").alias("first_line_pt"),
+            points("ind_hanging").alias("hanging_pt"),
+        ).alias("indent"),
+        F.when(
+            F.col("num_id").isNotNull(), F.struct("num_id", "ilvl", "format", "level_text")
+        ).alias("numbering"),
+        flag("keepNext").alias("keep_next"),
+        flag("keepLines").alias("keep_lines"),
+        flag("pageBreakBefore").alias("page_break_before"),
+        flag("widowControl").alias("widow_control"),
+        styles.heading_level().alias("outline_level"),
+        F.coalesce("runs", F.array().cast(listed.schema["runs"].dataType)).alias("runs"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.lineage import cut
 from scriptorium.operators import diff as D
 from scriptorium.operators import edits as E
 from scriptorium.operators import versions as V
@@ -131,7 +132,8 @@ def _new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.diff(_old(spark, sf_dir), _new(spark, sf_dir))
+    # Both versions are results of edits; keep them, as a version store would.
+    return D.diff(cut(_old(spark, sf_dir)), cut(_new(spark, sf_dir)))
 
 
 def _trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:

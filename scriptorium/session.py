@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go away with the plans that made them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Packages and parts are large binary cells: bound an Arrow batch by bytes, not
     # only by its default of 10 000 rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
