@@ -11,45 +11,53 @@ from scriptorium.schema import WORD_NS
 OFF = ("0", "false", "off")
 
 
+def _quoted(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{name}'" for name in names)
+
+
 def ancestor(up: int) -> Column:
     """The ancestor ``up`` levels above, null beyond the root."""
-    return F.try_element_at(F.col("ancestors"), F.lit(-up))
+    return F.expr(f"try_element_at(ancestors, -{up})")
 
 
 def is_word(*names: str) -> Column:
     """Whether the element is one of the named Word elements."""
-    return F.col("is_word") & F.col("name").isin(*names)
+    return F.expr(f"is_word AND name IN ({_quoted(names)})")
+
+
+def _under_sql(names: tuple[str, ...], first: bool) -> str:
+    tests = []
+    for up, name in enumerate(reversed(names), start=1):
+        at = f"try_element_at(ancestors, -{up})"
+        tests.append(f"{at}.word AND {at}.name = '{name}'")
+        if first and up < len(names):
+            tests.append(f"{at}.first")
+    return f"coalesce({' AND '.join(tests)}, false)"
 
 
 def under(*names: str) -> Column:
     """Whether the nearest ancestors are these Word elements, outermost first."""
-    found = F.lit(True)
-    for up, name in enumerate(reversed(names), start=1):
-        found = found & ancestor(up)["word"] & (ancestor(up)["name"] == name)
-    return F.coalesce(found, F.lit(False))
+    return F.expr(_under_sql(names, first=False))
 
 
 def under_first(*names: str) -> Column:
     """Like ``under``; each but the outermost is also the first of its kind there."""
-    firsts = F.lit(True)
-    for up in range(1, len(names)):
-        firsts = firsts & ancestor(up)["first"]
-    return under(*names) & F.coalesce(firsts, F.lit(False))
+    return F.expr(_under_sql(names, first=True))
 
 
 def nearest(*names: str) -> Column:
     """The nearest ancestor that is one of the named Word elements."""
-    hits = F.filter("ancestors", lambda a: a["word"] & a["name"].isin(*names))
-    return F.try_element_at(hits, F.lit(-1))
+    hits = f"filter(ancestors, a -> a.word AND a.name IN ({_quoted(names)}))"
+    return F.expr(f"try_element_at({hits}, -1)")
 
 
 def inside(*names: str) -> Column:
-    return F.exists("ancestors", lambda a: a["word"] & a["name"].isin(*names))
+    return F.expr(f"exists(ancestors, a -> a.word AND a.name IN ({_quoted(names)}))")
 
 
 def word_attr(name: str) -> Column:
     """An attribute in the Word namespace."""
-    return F.col("attrs")[f"{{{WORD_NS}}}{name}"]
+    return F.expr(f"attrs['{{{WORD_NS}}}{name}']")
 
 
 def is_on(value: Column) -> Column:
@@ -63,11 +71,11 @@ def run_text(all_tabs: bool = False) -> Column:
     Tabs and breaks count inside a run; with ``all_tabs`` wherever they are, which takes
     in the tab stops of the paragraph's properties.
     """
-    placed = F.lit(True) if all_tabs else under("r")
-    return (
-        F.when(is_word("t"), F.col("text"))
-        .when(is_word("tab") & placed, F.lit("\t"))
-        .when(is_word("br", "cr") & placed, F.lit("\n"))
+    placed = "true" if all_tabs else _under_sql(("r",), first=False)
+    return F.expr(
+        f"""CASE WHEN NOT is_word THEN NULL WHEN name = 't' THEN text
+        WHEN name = 'tab' AND {placed} THEN '\t'
+        WHEN name IN ('br', 'cr') AND {placed} THEN '\n' END"""
     )
 
 
@@ -89,15 +97,13 @@ _THROUGH = "(?:customXml/|sdt/sdtContent/)*"
 def block_path() -> Column:
     """Names of the ancestors below the body, each followed by a slash; null elsewhere."""
 
-    def label(a: Column) -> Column:
-        hidden = ~a["word"] | ((a["name"] == "sdtContent") & ~a["first"])
-        return F.concat(F.when(hidden, "?").otherwise(a["name"]), F.lit("/"))
-
-    ancestors = F.col("ancestors")
-    below = F.slice(ancestors, F.lit(3), F.greatest(F.size(ancestors) - 2, F.lit(0)))
-    body = F.try_element_at(ancestors, F.lit(2))
-    return F.when(
-        body["word"] & (body["name"] == "body"), F.array_join(F.transform(below, label), "")
+    body = "try_element_at(ancestors, 2)"
+    label = """a -> concat(
+        CASE WHEN NOT a.word OR (a.name = 'sdtContent' AND NOT a.first) THEN '?' ELSE a.name END, '/')"""
+    below = "slice(ancestors, 3, greatest(size(ancestors) - 2, 0))"
+    return F.expr(
+        f"CASE WHEN {body}.word AND {body}.name = 'body' "
+        f"THEN array_join(transform({below}, {label}), '') END"
     )
 
 

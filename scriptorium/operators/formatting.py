@@ -76,14 +76,14 @@ def paragraph_formatting(resolved: DataFrame, levels: DataFrame, runs: DataFrame
     )
 
     def points(*names: str) -> Column:
-        return N.number(F.coalesce(*[F.col(f"a_{n}") for n in names])) / 20
+        return N.number(F.coalesce(*[F.col(f"props.a_{n}") for n in names])) / 20
 
     def flag(name: str) -> Column:
-        given = F.col(f"e_{name}")
+        given = F.col(f"props.e_{name}")
         return given.isNotNull() & N.is_on(given["val"])
 
-    line = N.number(F.col("a_spacing_line"))
-    rule = F.col("a_spacing_lineRule")
+    line = N.number(F.col("props.a_spacing_line"))
+    rule = F.col("props.a_spacing_lineRule")
     fixed = F.coalesce(rule.isin("exact", "atLeast"), F.lit(False))
     rule_name = (
         F.when(line.isNull(), F.lit(None).cast("string"))
@@ -98,7 +98,7 @@ def paragraph_formatting(resolved: DataFrame, levels: DataFrame, runs: DataFrame
         "in_table",
         "style_id",
         "style_name",
-        F.col("e_jc.val").alias("alignment"),
+        F.col("props.e_jc.val").alias("alignment"),
         F.struct(
             points("spacing_before").alias("before_pt"),
             points("spacing_after").alias("after_pt"),
