@@ -1,22 +1,35 @@
-"""Cutting long lineages with reliable checkpoints."""
+"""Cutting long lineages with reliable checkpoints, and the shared working folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where it is unset, as in
-    tests, a temporary one is made. Used for small per-document tables that a plan needs
-    several times, and for parsed packages.
+    Only where it is unset, as in tests, a temporary one is made.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-"))
+    return context.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh name below the shared folder."""
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder.
+
+    Used for small per-document tables that a plan needs several times, and for parsed
+    packages. The checkpoint is reliable: losing executors does not lose it.
+    """
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()

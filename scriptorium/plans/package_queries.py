@@ -11,7 +11,7 @@ from scriptorium.lineage import cut
 from scriptorium.operators import formatting, inline, markdown, numbering, search, structure, styles
 from scriptorium.operators import paragraphs as P
 from scriptorium.plans.page_queries import BLOCKS_SQL, RUNS_SQL
-from scriptorium.plans.tables import lines, table
+from scriptorium.plans.tables import lines, pages
 from scriptorium.plans.text_queries import LINES_SQL
 from scriptorium.schema import CONTENT_TYPE, REL, WORD_NS
 from scriptorium.sinks import docx, html
@@ -177,9 +177,9 @@ def docx_markdown_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as packages with formatted runs."""
-    pages = table(spark, sf_dir, "pages")
-    runs = page_runs(pages).select("doc_id", "idx", "run", "text", "bold", "italic")
-    built = docx.packages(page_paragraphs(pages).drop("tag"), runs.withColumn("color", F.lit("112233")))
+    source = pages(spark, sf_dir)
+    runs = page_runs(source).select("doc_id", "idx", "run", "text", "bold", "italic")
+    built = docx.packages(page_paragraphs(source).drop("tag"), runs.withColumn("color", F.lit("112233")))
     return N.accepted(N.ingest_nodes(S.open_packages(built.packages).parts, _BODY))
 
 

@@ -9,40 +9,36 @@ from scriptorium.operators import edits as E
 from scriptorium.operators import formatting, inline, lists, markdown, structure, styles
 from scriptorium.operators.positions import positions
 from scriptorium.operators.style_chain import style_chain as chain
-from scriptorium.plans.tables import table
+from scriptorium.plans.tables import pages, table
 from scriptorium.plans.text_queries import units_sql
 from scriptorium.sources import text as T
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
-
-
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.page_paragraphs(_pages(spark, sf_dir))
+    return T.page_paragraphs(pages(spark, sf_dir))
 
 
 def page_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.page_runs(_pages(spark, sf_dir))
+    return T.page_runs(pages(spark, sf_dir))
 
 
 def outline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return styles.outline_by_name(T.page_paragraphs(_pages(spark, sf_dir)))
+    return styles.outline_by_name(T.page_paragraphs(pages(spark, sf_dir)))
 
 
 def outline_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paragraphs = T.page_paragraphs(_pages(spark, sf_dir))
+    paragraphs = T.page_paragraphs(pages(spark, sf_dir))
     return styles.outline_positions(styles.outline_by_name(paragraphs), positions(paragraphs))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = T.page_runs(_pages(spark, sf_dir))
+    runs = T.page_runs(pages(spark, sf_dir))
     return runs.where("link is not null").select("doc_id", "idx", "run", "text", "link")
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List items of pages with made-up nesting: every fifth one is a bullet."""
-    found = T.page_paragraphs(_pages(spark, sf_dir)).where("tag = 'li'")
+    found = T.page_paragraphs(pages(spark, sf_dir)).where("tag = 'li'")
     place = F.col("idx")
     return found.select(
         "doc_id",
@@ -61,9 +57,9 @@ def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown: headings, bullets, bold and links."""
-    runs = T.page_runs(_pages(spark, sf_dir)).withColumn("raw", F.lit(False))
+    runs = T.page_runs(pages(spark, sf_dir)).withColumn("raw", F.lit(False))
     texts = inline.render(runs, order="run")
-    paragraphs = T.page_paragraphs(_pages(spark, sf_dir)).select("doc_id", "idx", "style", "tag")
+    paragraphs = T.page_paragraphs(pages(spark, sf_dir)).select("doc_id", "idx", "style", "tag")
     level = styles.name_level(F.col("style"))
     marker = F.when(F.col("tag") == "li", F.lit("- "))
     body = markdown.paragraph_markdown(F.col("text"), level, marker)
@@ -76,17 +72,17 @@ def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = positions(T.page_paragraphs(_pages(spark, sf_dir)))
-    ranges = _pages(spark, sf_dir).select(
+    placed = positions(T.page_paragraphs(pages(spark, sf_dir)))
+    ranges = pages(spark, sf_dir).select(
         F.col("page_id").alias("doc_id"), F.lit(20).alias("lo"), F.lit(90).alias("hi")
     )
-    runs = T.page_runs(_pages(spark, sf_dir))
+    runs = T.page_runs(pages(spark, sf_dir))
     return formatting.range_formatting(placed, runs, ranges, ["bold", "italic", "link"])
 
 
-def _formats(pages: DataFrame, place: dict) -> DataFrame:
+def _formats(source: DataFrame, place: dict) -> DataFrame:
     none = F.lit(None)
-    return pages.select(
+    return source.select(
         F.col("page_id").alias("doc_id"),
         *[F.lit(v).alias(k) for k, v in place.items()],
         F.lit(True).alias("bold"),
@@ -101,7 +97,7 @@ def _formats(pages: DataFrame, place: dict) -> DataFrame:
 
 def _plain_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
-    return T.page_runs(_pages(spark, sf_dir)).withColumns(
+    return T.page_runs(pages(spark, sf_dir)).withColumns(
         {
             "underline": none.cast("string"),
             "size_pt": none.cast("double"),
@@ -111,28 +107,28 @@ def _plain_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def format_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = _formats(_pages(spark, sf_dir), {"idx": 7})
-    paragraphs = T.page_paragraphs(_pages(spark, sf_dir))
+    edits = _formats(pages(spark, sf_dir), {"idx": 7})
+    paragraphs = T.page_paragraphs(pages(spark, sf_dir))
     return E.format_paragraphs(paragraphs, _plain_runs(spark, sf_dir), edits)[1]
 
 
 def format_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = _formats(_pages(spark, sf_dir), {"start": 12, "end": 60})
-    paragraphs = T.page_paragraphs(_pages(spark, sf_dir))
+    edits = _formats(pages(spark, sf_dir), {"start": 12, "end": 60})
+    paragraphs = T.page_paragraphs(pages(spark, sf_dir))
     return E.format_range(paragraphs, _plain_runs(spark, sf_dir), edits)[1]
 
 
 def restyled_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paragraphs of ``format_range``: style and alignment where the range touches."""
-    edits = _formats(_pages(spark, sf_dir), {"start": 12, "end": 60})
-    paragraphs = T.page_paragraphs(_pages(spark, sf_dir))
+    edits = _formats(pages(spark, sf_dir), {"start": 12, "end": 60})
+    paragraphs = T.page_paragraphs(pages(spark, sf_dir))
     edited = E.format_range(paragraphs, _plain_runs(spark, sf_dir), edits)[0]
     return edited.paragraphs.select("doc_id", "idx", "style", "alignment")
 
 
 def replace_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replaced texts, put together again per paragraph."""
-    runs = E.replace_in_runs(T.page_runs(_pages(spark, sf_dir)), "an", "<AN>")
+    runs = E.replace_in_runs(T.page_runs(pages(spark, sf_dir)), "an", "<AN>")
     text = F.array_join(F.array_sort(F.collect_list(F.struct("run", "text")))["text"], "")
     return runs.groupBy("doc_id", "idx").agg(text.alias("text"))
 

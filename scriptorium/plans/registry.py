@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import edit_queries, package_queries, page_queries, text_queries
+from scriptorium.plans import (
+    edit_queries,
+    package_queries,
+    page_queries,
+    stream_queries,
+    text_queries,
+)
 
-_GROUPS = (text_queries, edit_queries, page_queries, package_queries)
+_GROUPS = (text_queries, edit_queries, page_queries, package_queries, stream_queries)
 
 QUERIES = {name: query for group in _GROUPS for name, query in group.QUERIES.items()}
 SQL = {name: sql for group in _GROUPS for name, sql in group.SQL.items()}

@@ -226,7 +226,10 @@ def packages(
     judged = limits.select("doc_id", reason.alias("reason"))
     rejects = judged.where("reason is not null")
     kept = xml.join(rejects, "doc_id", "left_anti")
-    bodies = kept.groupBy("doc_id").agg(
+    # An explicit number of partitions: the next step costs Python time per document, so
+    # partitions must not be merged for holding few bytes. The grouping reuses them.
+    partitions = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bodies = kept.repartition(partitions, "doc_id").groupBy("doc_id").agg(
         F.concat(
             F.lit(_HEAD),
             X.concat_items(F.array_sort(F.collect_list(F.struct("idx", F.col("xml").alias("f")))), "f"),

@@ -59,20 +59,30 @@ def _unzip(content: bytes) -> list[tuple[str, bytes]]:
     return found
 
 
+#: Unzipped bytes sent to the JVM together; one package may exceed it, up to its own limit.
+_BATCH = 16 * 1024 * 1024
+
+
 def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["doc_id", "ord", "part", "size", "bytes", "reason"]
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        columns = ["doc_id", "ord", "part", "size", "bytes", "reason"]
+        return pd.DataFrame(rows, columns=columns).astype({"ord": "Int32", "size": "Int32"})
+
+    rows: list[tuple] = []
+    held = 0
     for batch in batches:
         for doc_id, content in zip(batch["doc_id"], batch["content"]):
             try:
-                rows = [
-                    (doc_id, at, name, len(data), data, None)
-                    for at, (name, data) in enumerate(_unzip(content))
-                ]
+                for at, (name, data) in enumerate(_unzip(content)):
+                    rows.append((doc_id, at, name, len(data), data, None))
+                    held += len(data)
             except ValueError as error:
-                rows = [(doc_id, None, None, None, None, str(error))]
-            # One package at a time: it is at most 64 MiB.
-            frame = pd.DataFrame(rows, columns=columns)
-            yield frame.astype({"ord": "Int32", "size": "Int32"})
+                rows.append((doc_id, None, None, None, None, str(error)))
+            if held >= _BATCH:
+                yield frame(rows)
+                rows, held = [], 0
+    if rows:
+        yield frame(rows)
 
 
 def open_packages(files: DataFrame) -> Packages:

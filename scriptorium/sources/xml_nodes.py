@@ -107,27 +107,38 @@ def parse_part(part: str, data: bytes) -> _Reader:
     return reader
 
 
-def _batch(doc_id: object, part: str, reader: _Reader, schema: pa.Schema) -> pa.RecordBatch:
-    """The elements of one part in Arrow form; nested columns are built from flat ones."""
-    rows = reader.rows
-    count = len(rows)
-    flat = list(zip(*rows))
+class _Refused:
+    """A part that is not read, as one row with a reason."""
+
+    texts: tuple = ([],)
+
+    def __init__(self, reason: str) -> None:
+        self.reason = reason
+        self.rows = [(None,) * 9 + ((), ())]
+
+
+def _batch(items: list[tuple[object, str, _Reader | _Refused]], schema: pa.Schema) -> pa.RecordBatch:
+    """The elements of some parts in Arrow form; nested columns are built from flat ones."""
+    flat = list(zip(*(row for _, _, reader in items for row in reader.rows)))
+
+    def repeated(values: list) -> list:
+        return [v for v, item in zip(values, items) for _ in item[2].rows]
 
     def offsets(lists: tuple) -> pa.Array:
         ends = [0]
-        for items in lists:
-            ends.append(ends[-1] + len(items))
+        for entries in lists:
+            ends.append(ends[-1] + len(entries))
         return pa.array(ends, pa.int32())
 
     attributes = [pair for row in flat[9] for pair in row]
-    ancestors = list(zip(*(item for row in flat[10] for item in row))) or [()] * 4
+    ancestors = list(zip(*(entry for row in flat[10] for entry in row))) or [()] * 4
     struct = schema.field("ancestors").type.value_type
     nested = pa.StructArray.from_arrays(
         [pa.array(column, field.type) for column, field in zip(ancestors, struct)], fields=list(struct)
     )
     columns = {
-        "doc_id": [doc_id] * count,
-        "part": [part] * count,
+        "doc_id": repeated([item[0] for item in items]),
+        "part": repeated([item[1] for item in items]),
         "node_id": flat[0],
         "parent_id": flat[1],
         "depth": flat[2],
@@ -136,9 +147,9 @@ def _batch(doc_id: object, part: str, reader: _Reader, schema: pa.Schema) -> pa.
         "is_word": flat[5],
         "first": flat[6],
         "para": flat[7],
-        "text": ["".join(pieces) for pieces in reader.texts],
+        "text": ["".join(pieces) for _, _, reader in items for pieces in reader.texts],
         "val": flat[8],
-        "reason": [None] * count,
+        "reason": repeated([getattr(item[2], "reason", None) for item in items]),
     }
     arrays = []
     for field in schema:
@@ -153,6 +164,10 @@ def _batch(doc_id: object, part: str, reader: _Reader, schema: pa.Schema) -> pa.
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+#: Elements sent to the JVM together. Small parts share a batch, a large one fills its own.
+_BATCH = 20_000
+
+
 def parse_parts(parts: DataFrame) -> DataFrame:
     """Element rows of every given part, or one row with a ``reason`` per refused part."""
     doc_type = parts.schema["doc_id"].dataType
@@ -160,13 +175,21 @@ def parse_parts(parts: DataFrame) -> DataFrame:
     schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[object, str, _Reader | _Refused]] = []
+        size = 0
         for batch in batches:
             for doc_id, part, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 try:
-                    yield _batch(doc_id, part, parse_part(part, data), schema)
+                    reader: _Reader | _Refused = parse_part(part, data)
                 except ValueError as error:
-                    refused = {"doc_id": doc_id, "part": part, "reason": str(error)}
-                    yield pa.RecordBatch.from_pylist([refused], schema=schema)
+                    reader = _Refused(str(error))
+                held.append((doc_id, part, reader))
+                size += len(reader.rows)
+                if size >= _BATCH:
+                    yield _batch(held, schema)
+                    held, size = [], 0
+        if held:
+            yield _batch(held, schema)
 
     return parts.select("doc_id", "part", "bytes").mapInArrow(run, spark_schema)
 
