@@ -28,8 +28,19 @@ def new_folder(spark: SparkSession) -> str:
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows, computed once and kept in the shared folder.
 
-    Used for small per-document tables that a plan needs several times, and for parsed
-    packages. The checkpoint is reliable: losing executors does not lose it.
+    Used for small per-document tables that a plan needs several times. The checkpoint is
+    reliable: losing executors does not lose it.
     """
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The same rows, written once as a columnar table in the shared folder.
+
+    Used for parsed packages: what is read later is a few columns and elements of them, so
+    pruning and pushdown pay off.
+    """
+    path = f"{new_folder(frame.sparkSession)}/table"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -257,8 +257,10 @@ def rows_of_cells(shape: DataFrame, cells: DataFrame, gap: str) -> DataFrame:
         "doc_id", "block_id", "row_id", "cell_id", F.lit(None).cast("int").alias("span"), "idx", "text"
     )
     keys = ["doc_id", "block_id", "row_id"]
+    # Cells, rows and tables are grouped on longer and longer keys: one shuffle serves all.
     per_cell = (
         own.unionByName(texts)
+        .repartition("doc_id", "block_id")
         .groupBy(*keys, "cell_id")
         .agg(
             F.max("span").alias("span"),

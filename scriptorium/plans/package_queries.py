@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.lineage import cut
+from scriptorium.lineage import stored
 from scriptorium.operators import formatting, inline, markdown, numbering, search, structure, styles
 from scriptorium.operators import paragraphs as P
 from scriptorium.plans.page_queries import BLOCKS_SQL, RUNS_SQL
@@ -86,7 +86,7 @@ def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _read(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> Read:
     """The packages of all documents, parsed once and kept."""
     parts = S.open_packages(_packages(spark, sf_dir)).parts
-    nodes = cut(N.accepted(N.ingest_nodes(parts, names)))
+    nodes = stored(N.accepted(N.ingest_nodes(parts, names)))
     return Read(parts, nodes, R.relationships(nodes))
 
 
@@ -190,7 +190,7 @@ def docx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docx_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inline content of the pages, merged where the format is the same."""
-    nodes = cut(_page_nodes(spark, sf_dir))
+    nodes = stored(_page_nodes(spark, sf_dir))
     merged = inline.merged(inline.pieces(nodes, R.relationships(nodes)))
     return merged.groupBy("doc_id", "idx").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("run_group", "text")))["text"], "").alias("text"),

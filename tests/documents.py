@@ -185,10 +185,10 @@ def files(spark, *packages: bytes):
 
 def parsed(spark, *packages: bytes):
     """Stored element rows and relationships of the packages."""
-    from scriptorium.lineage import cut
+    from scriptorium.lineage import stored
     from scriptorium.sources.packages import open_packages
     from scriptorium.sources.relationships import relationships
     from scriptorium.sources.xml_nodes import accepted, ingest_nodes
 
-    nodes = cut(accepted(ingest_nodes(open_packages(files(spark, *packages)).parts)))
+    nodes = stored(accepted(ingest_nodes(open_packages(files(spark, *packages)).parts)))
     return nodes, relationships(nodes)
