@@ -76,14 +76,10 @@ def paragraph_formatting(resolved: DataFrame, levels: DataFrame, runs: DataFrame
     )
 
     def points(*names: str) -> Column:
-        return N.number(F.coalesce(*[F.col(f"props.a_{n}") for n in names])) / 20
+        return N.number(F.coalesce(*[styles.attribute(n) for n in names])) / 20
 
-    def flag(name: str) -> Column:
-        given = F.col(f"props.e_{name}")
-        return given.isNotNull() & N.is_on(given["val"])
-
-    line = N.number(F.col("props.a_spacing_line"))
-    rule = F.col("props.a_spacing_lineRule")
+    line = N.number(styles.attribute("spacing_line"))
+    rule = styles.attribute("spacing_lineRule")
     fixed = F.coalesce(rule.isin("exact", "atLeast"), F.lit(False))
     rule_name = (
         F.when(line.isNull(), F.lit(None).cast("string"))
@@ -98,7 +94,7 @@ def paragraph_formatting(resolved: DataFrame, levels: DataFrame, runs: DataFrame
         "in_table",
         "style_id",
         "style_name",
-        F.col("props.e_jc.val").alias("alignment"),
+        styles.element("jc").alias("alignment"),
         F.struct(
             points("spacing_before").alias("before_pt"),
             points("spacing_after").alias("after_pt"),
@@ -114,10 +110,10 @@ def paragraph_formatting(resolved: DataFrame, levels: DataFrame, runs: DataFrame
         F.when(
             F.col("num_id").isNotNull(), F.struct("num_id", "ilvl", "format", "level_text")
         ).alias("numbering"),
-        flag("keepNext").alias("keep_next"),
-        flag("keepLines").alias("keep_lines"),
-        flag("pageBreakBefore").alias("page_break_before"),
-        flag("widowControl").alias("widow_control"),
+        styles.is_set("keepNext").alias("keep_next"),
+        styles.is_set("keepLines").alias("keep_lines"),
+        styles.is_set("pageBreakBefore").alias("page_break_before"),
+        styles.is_set("widowControl").alias("widow_control"),
         styles.heading_level().alias("outline_level"),
         F.coalesce("runs", F.array().cast(listed.schema["runs"].dataType)).alias("runs"),
     )

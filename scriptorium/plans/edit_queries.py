@@ -45,11 +45,11 @@ def replace_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's own request: its first three letters in capitals."""
+    """Each document's own request: its first three letters in brackets."""
     edits = _documents(spark, sf_dir).select(
         "doc_id",
         F.substring("text", 1, 3).alias("find"),
-        F.upper(F.substring("text", 1, 3)).alias("replacement"),
+        F.concat(F.lit("<"), F.substring("text", 1, 3), F.lit(">")).alias("replacement"),
         (F.col("doc_id") % 2 == 0).alias("all"),
         F.lit(None).cast("int").alias("paragraph"),
     )
@@ -216,7 +216,7 @@ bad AS (SELECT DISTINCT doc_id FROM lines WHERE text LIKE 'T%' AND contains(text
 SELECT doc_id, idx, CASE WHEN doc_id IN (SELECT doc_id FROM bad) THEN text
   ELSE replace(text, 'the', 'A & B') END AS text FROM lines""",
     "replace_each": f"""WITH {LINES_SQL},
-wanted AS (SELECT doc_id, left(text, 3) AS f, upper(left(text, 3)) AS r FROM documents),
+wanted AS (SELECT doc_id, left(text, 3) AS f, '<' || left(text, 3) || '>' AS r FROM documents),
 hits AS (SELECT l.doc_id, min(idx) AS first FROM lines l JOIN wanted w USING (doc_id)
   WHERE contains(l.text, f) GROUP BY l.doc_id)
 SELECT l.doc_id, idx, CASE
