@@ -26,13 +26,10 @@ def is_word(*names: str) -> Column:
 
 
 def _under_sql(names: tuple[str, ...], first: bool) -> str:
-    tests = []
-    for up, name in enumerate(reversed(names), start=1):
-        at = f"try_element_at(ancestors, -{up})"
-        tests.append(f"{at}.word AND {at}.name = '{name}'")
-        if first and up < len(names):
-            tests.append(f"{at}.first")
-    return f"coalesce({' AND '.join(tests)}, false)"
+    """One match on the names of the nearest ancestors; at most three of them."""
+    star = r"\*" if first else r"\*?"
+    steps = [names[0] + r"\*?", *[name + star for name in names[1:]]]
+    return f"coalesce(within RLIKE r'(^|/){'/'.join(steps)}$', false)"
 
 
 def under(*names: str) -> Column:

@@ -93,6 +93,8 @@ def nodes_schema(doc_type: T.DataType) -> T.StructType:
 
     ``first``: first among the equally named children of its parent. ``para``: ordinal of
     the nearest Word paragraph that contains or is the element. ``ancestors``: root first.
+    ``within``: the last three ancestors' names joined by slashes, with a star after those
+    that are first of their kind and a question mark for other vocabularies.
     """
     return T.StructType(
         [
@@ -110,6 +112,7 @@ def nodes_schema(doc_type: T.DataType) -> T.StructType:
             T.StructField("val", T.StringType()),
             T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
             T.StructField("ancestors", T.ArrayType(ANCESTOR)),
+            T.StructField("within", T.StringType()),
             T.StructField("reason", T.StringType()),
         ]
     )

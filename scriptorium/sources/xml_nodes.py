@@ -30,6 +30,7 @@ class _Reader:
         self.rows: list[tuple] = []
         self.texts: list[list[str]] = []
         self.open: list[tuple[int, str, bool, bool]] = []
+        self.labels: list[str] = []
         self.owners: list[int | None] = []
         self.seen: list[Counter] = [Counter()]
         self.paragraphs = 0
@@ -56,8 +57,12 @@ class _Reader:
             self.paragraphs += 1
         parent = self.open[-1][0] if self.open else None
         self.rows.append(
-            (number, parent, len(self.open), ns or None, name, word, first, owner, value, attrs, tuple(self.open))
+            (
+                number, parent, len(self.open), ns or None, name, word, first, owner, value, attrs,
+                tuple(self.open), "/".join(self.labels[-3:]),
+            )
         )
+        self.labels.append((name if word else "?") + ("*" if first else ""))
         self.texts.append([])
         self.open.append((number, name, word, first))
         self.owners.append(owner)
@@ -65,6 +70,7 @@ class _Reader:
 
     def end(self, _tag: str) -> None:
         self.open.pop()
+        self.labels.pop()
         self.owners.pop()
         self.seen.pop()
 
@@ -114,7 +120,7 @@ class _Refused:
 
     def __init__(self, reason: str) -> None:
         self.reason = reason
-        self.rows = [(None,) * 9 + ((), ())]
+        self.rows = [(None,) * 9 + ((), (), None)]
 
 
 def _batch(items: list[tuple[object, str, _Reader | _Refused]], schema: pa.Schema) -> pa.RecordBatch:
@@ -149,6 +155,7 @@ def _batch(items: list[tuple[object, str, _Reader | _Refused]], schema: pa.Schem
         "para": flat[7],
         "text": ["".join(pieces) for _, _, reader in items for pieces in reader.texts],
         "val": flat[8],
+        "within": flat[11],
         "reason": repeated([getattr(item[2], "reason", None) for item in items]),
     }
     arrays = []
