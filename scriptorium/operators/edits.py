@@ -39,14 +39,18 @@ def sizes(paragraphs: DataFrame) -> DataFrame:
 
 
 def _single(edits: DataFrame, sized: DataFrame) -> DataFrame:
-    """Edits with their document's size; a second edit of a document is marked."""
-    order = [F.col(c) for c in edits.columns if c != "doc_id"]
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(*order))
+    """One row per edited document, with its size; ``_twice`` marks documents with more edits.
+
+    Such documents are refused whole, so one of their edits stands for all. A partial
+    aggregate, so many edits of one document do not meet in one task.
+    """
+    values = [c for c in edits.columns if c != "doc_id"]
     return (
-        edits.withColumn("_nth", nth)
+        edits.groupBy("doc_id")
+        .agg(F.min(F.struct(*values)).alias("_edit"), (F.count(F.lit(1)) > 1).alias("_twice"))
+        .select("doc_id", "_edit.*", "_twice")
         .join(sized, "doc_id", "left")
-        .withColumns({"size": F.coalesce("size", F.lit(0)), "_twice": F.col("_nth") > 1})
-        .drop("_nth")
+        .withColumn("size", F.coalesce("size", F.lit(0)))
     )
 
 
