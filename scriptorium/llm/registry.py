@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import decontamination, packing, token_counts
+from scriptorium.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 SQL = {"op8_decontamination": decontamination.OP8_SQL}
