@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, token_counts
+from scriptorium.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
