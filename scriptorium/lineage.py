@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests, a temporary one is made.
+    Only in a local session, as in tests, a temporary one is made where it is unset.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-"))
     return context.getCheckpointDir()
 
@@ -35,12 +37,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def stored(frame: DataFrame) -> DataFrame:
+def stored(frame: DataFrame, compression: str | None = None) -> DataFrame:
     """The same rows, written once as a columnar table in the shared folder.
 
     Used for parsed packages: what is read later is a few columns and elements of them, so
     pruning and pushdown pay off.
     """
     path = f"{new_folder(frame.sparkSession)}/table"
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
