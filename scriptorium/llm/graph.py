@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.lineage import stored
+from scriptorium.llm.membership import present
+
+#: Rounds in which the members of open buckets are compared with one of them.
+STAR_ROUNDS = 4
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -44,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
         if mark == before:
             break
     roots = current.select(F.col("b").alias("id"), F.col("a").alias("root"))
-    return roots.unionByName(current.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
+    return stored(roots.unionByName(current.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct()))
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -54,32 +58,49 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``(id, root)`` of ids that verified pairs connect, for ids that share a ``bucket``.
+def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """``(id, root)`` of ids that verified pairs connect, for distinct ``(bucket, id)`` pairs.
+
+    In each round one member of every bucket is compared with those of the others that are not
+    connected to it yet: first the one that meets most others over all buckets, which is mostly
+    what the rest was copied from, then one by chance. That joins nearly all of what belongs
+    together by a comparison each. Last, in buckets where several groups remain, all pairs that
+    lie in different groups and were not compared are, so that no link between groups is lost.
 
-    First each bucket's members are compared with its least one. That joins nearly all of what
-    belongs together by one comparison each. Then, in buckets where several groups remain, the
-    pairs that lie in different groups are compared, so that no link between groups is lost.
-    ``verify`` gets candidate pairs ``(a, b)`` with a < b and returns those that hold.
+    ``prepare`` gets the ids that share a bucket with another, and returns what turns candidate
+    pairs ``(a, b)``, a < b, into those that hold.
     """
-    members = stored(buckets.select("bucket", "id").distinct())
-    shared = stored(
-        members.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    )
-    meeting = stored(members.join(shared, "bucket").select("bucket", "a", F.col("id").alias("b")))
-    pairs = stored(meeting.where("a <> b").select("a", "b").distinct())
-    links = stored(verify(pairs).select("a", "b"))
-    roots = stored(components(links))
-    grouped = meeting.select("bucket", F.col("b").alias("id")).join(roots, "id", "left").select(
-        "bucket", "id", F.coalesce("root", "id").alias("root")
-    )
-    open_ = stored(
-        grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    )
-    if open_.isEmpty():
-        return roots
-    rest = stored(grouped.join(open_, "bucket"))
-    left, right = rest.toDF("bucket", "a", "root_a"), rest.toDF("bucket", "b", "root_b")
-    across = left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
-    more = verify(stored(across.join(pairs, ["a", "b"], "left_anti"))).select("a", "b")
-    return components(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")).unionByName(more))
+    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    meeting = stored(present(buckets, "bucket", sizes.select("bucket")).join(sizes, "bucket"))
+    degree = meeting.groupBy("id").agg(F.sum("n").alias("degree"))
+    verify = prepare(degree.select("id"))
+    members = stored(meeting.select("bucket", "id").join(stored(degree), "id"))
+    links = tested = roots = None
+    for turn in range(STAR_ROUNDS + 1):
+        placed = members if roots is None else members.join(roots, "id", "left")
+        root = F.col("id") if roots is None else F.coalesce("root", "id")
+        placed = stored(placed.select("bucket", "id", "degree", root.alias("root")))
+        first = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+        open_ = stored(
+            placed.groupBy("bucket")
+            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct(first.alias("first"), "id", "root")).alias("lead"))
+            .where("low <> high")
+            .select("bucket", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root"))
+        )
+        if open_.isEmpty():
+            break
+        if turn < STAR_ROUNDS:
+            rest = placed.join(open_, "bucket").where("root <> lead_root")
+            pairs = rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        else:
+            rest = stored(placed.join(open_.select("bucket"), "bucket").select("bucket", "id", "root"))
+            left, right = rest.toDF("bucket", "a", "root_a"), rest.toDF("bucket", "b", "root_b")
+            pairs = left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        more = stored(verify(pairs).select("a", "b"))
+        links = more if links is None else links.unionByName(more)
+        roots = components(links)
+    if roots is None:
+        return buckets.select("id", F.col("id").alias("root")).limit(0)
+    return roots

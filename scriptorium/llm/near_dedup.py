@@ -22,7 +22,7 @@ document is the least id in its group, null ids last, and exactly one row of eac
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from scriptorium.lineage import stored
 from scriptorium.llm.graph import linked
+from scriptorium.llm.membership import present
 from scriptorium.llm.tables import documents
 from scriptorium.llm.words import blocks, lists, mix, shingles, split
 
@@ -160,16 +161,11 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
     return stored(read.mapInArrow(run, schema))
 
 
-def similar(pairs: DataFrame, bags_: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose multisets have at least ``threshold`` in common, exactly."""
-    needed = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    bag = stored(bags_.select("row", "n", "bag").join(needed, "row", "left_semi"))
-    near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)) if threshold else F.lit(True)
-    sizes = bag.select("row", "n")
-    close = stored(
-        pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(near).select("a", "b")
-    )
-    both = close.join(bag.select("row", "bag").toDF("a", "bag_a"), "a").join(bag.select("row", "bag").toDF("b", "bag_b"), "b")
+def compared(rows: DataFrame, ids: DataFrame, threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """A function that keeps the pairs ``(a, b)`` of ``ids`` whose multisets are similar, exactly."""
+    bag = present(rows.select(F.col("row").alias("id"), "n", "bag"), "id", ids)
+    bag = stored(bag.join(ids, "id", "left_semi"))
+    sizes = bag.select("id", "n")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,7 +176,15 @@ def similar(pairs: DataFrame, bags_: DataFrame, threshold: float) -> DataFrame:
                 good.append(shared >= threshold * (len(one) + len(other) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+    def similar(pairs: DataFrame) -> DataFrame:
+        near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)
+        sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(near)
+        close = stored(sized.select("a", "b"))
+        whole = bag.select("id", "bag")
+        both = close.join(whole.toDF("a", "bag_a"), "a").join(whole.toDF("b", "bag_b"), "b")
+        return both.mapInArrow(check, "a long, b long")
+
+    return similar
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -190,7 +194,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     first = stored(light.where("copy is not null").groupBy("copy").agg(F.min("row").alias("first")))
     distinct = rows.join(first.select(F.col("first").alias("row")), "row", "left_semi")
     buckets = distinct.select(F.explode("bands").alias("bucket"), F.col("row").alias("id"))
-    roots = linked(buckets, lambda pairs: similar(pairs, rows, threshold))
+    roots = linked(buckets, lambda ids: compared(rows, ids, threshold))
     tops = first.join(roots.withColumnRenamed("id", "first"), "first", "left").select(
         "copy", F.coalesce("root", "first").alias("root")
     )
