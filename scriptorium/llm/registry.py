@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import decontamination, fingerprints, language_id, line_dedup, near_dedup, packing, token_counts, toxicity
+from scriptorium.llm import (
+    decontamination,
+    fingerprints,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    secret_scan,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -12,6 +22,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
-SQL = {"op8_decontamination": decontamination.OP8_SQL}
+SQL = {"op8_decontamination": decontamination.OP8_SQL, "op9_secret_scan": secret_scan.OP9_SQL}

@@ -217,3 +217,45 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def _matches_sql(kind: str, pattern: str, value_group: int = 0) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+SELECT r, '{kind}' AS kind, {KINDS.index(kind)} AS o, m[i] AS m, g[i] AS g,
+       list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS s
+FROM (SELECT r, m, g, p, unnest(range(1, len(m) + 1)) AS i
+      FROM (SELECT r, regexp_extract_all(t, {quoted}) AS m, regexp_extract_all(t, {quoted}, {value_group}) AS g,
+                   string_split_regex(t, {quoted}) AS p
+            FROM d WHERE regexp_matches(t, {quoted})))"""
+
+
+def _dense_sql(kind: CharacterClass) -> str:
+    allowed = " AND ".join("NOT regexp_matches(m, '" + a.replace("'", "''") + "')" for a in ALLOWED)
+    return f"""
+SELECT r, kind, o, s + min(j) AS s, s + max(j) + {WINDOW} AS e
+FROM (SELECT r, kind, o, m, s, unnest(range(0, length(m) - {WINDOW} + 1)) AS j
+      FROM ({_matches_sql(kind.kind, kind.pattern)}) WHERE {allowed})
+WHERE list_aggregate(string_split(substring(m, CAST(j AS INTEGER) + 1, {WINDOW}), ''), 'entropy') + 1e-9 >= {kind.bits}
+GROUP BY r, kind, o, m, s"""
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), base AS (
+  SELECT r, kind, o, s, s + length(m) AS e FROM ({_matches_sql("assign", ASSIGN, 2)}) WHERE length(g) >= {ASSIGN_LEAST}
+  UNION ALL SELECT r, kind, o, s, s + length(m) AS e FROM ({_matches_sql("access", ACCESS)})
+  UNION ALL SELECT r, kind, o, s, s + length(m) AS e FROM ({_matches_sql("hex", HEX)})
+), every AS (
+  SELECT * FROM base {" ".join("UNION ALL " + _dense_sql(c) for c in CLASSES)}
+), told AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, o, e) FILTER (o < {len(BASE_KINDS)}) AS base,
+         string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, o, e) AS spans
+  FROM every GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (r)
+"""
