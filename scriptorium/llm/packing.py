@@ -17,7 +17,7 @@ a null id are separate documents. An empty table gives no pieces. Other columns
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,8 @@ from scriptorium.llm.words import blocks
 SEQUENCE_TOKENS = 1024
 #: Id after each document.
 SEPARATOR = 0
+#: Rows of three integers (lengths times tasks) that are sent to all tasks rather than shuffled.
+BROADCAST_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -98,15 +100,23 @@ def slots(packs: list[tuple[tuple[int, ...], int]]) -> list[Slot]:
     return found
 
 
+def small_ids(ids: np.ndarray) -> bytes:
+    """Ids as little-endian unsigned 16-bit integers; the vocabulary has fewer than 65,536."""
+    return ids.astype("<u2").tobytes()
+
+
 def pieces(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     size: int = SEQUENCE_TOKENS,
     vocabulary: str = tokens.VOCABULARY,
-    with_ids: bool = False,
+    coded: Callable[[np.ndarray], bytes] | None = None,
 ) -> DataFrame:
-    """Tokenised pieces with their rank among the task's pieces of that length, stored."""
+    """Tokenised pieces with their rank among the task's pieces of that length, stored.
+
+    ``coded`` adds a column ``ids`` with what it makes of a piece's ids.
+    """
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[key].dataType),
@@ -116,7 +126,7 @@ def pieces(
             T.StructField("doc_tokens", T.LongType()),
             T.StructField("task", T.LongType()),
             T.StructField("task_rank", T.LongType()),
-            *([T.StructField("ids", T.BinaryType())] if with_ids else []),
+            *([T.StructField("ids", T.BinaryType())] if coded else []),
         ]
     )
 
@@ -132,7 +142,7 @@ def pieces(
                     rank = int(seen[len(piece)])
                     seen[len(piece)] += 1
                     row = (start, len(piece), zlib.crc32(piece.data), len(ids), task, rank)
-                    rows.append((*row, piece.astype("<u2").tobytes()) if with_ids else row)
+                    rows.append((*row, coded(piece)) if coded else row)
                     owners.append(at)
             columns = [pa.array(c) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays(
@@ -151,6 +161,8 @@ def place(cut: DataFrame, size: int = SEQUENCE_TOKENS) -> DataFrame:
     bases = counts.select(
         "length", "task", F.coalesce(F.sum("pieces").over(earlier), F.lit(0)).alias("base")
     )
+    if counts.count() <= BROADCAST_ROWS:  # else Spark joins by a shuffle
+        bases = F.broadcast(bases)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("pieces").alias("n")).collect()}
     plan = spark.createDataFrame(
         [(s.length, s.first, s.first + s.count, s.sequence, s.offset) for s in slots(patterns(histogram, size))],
@@ -189,7 +201,7 @@ def pack(
 
     ``with_ids`` adds the pieces' ids as little-endian unsigned 16-bit integers.
     """
-    return place(pieces(docs, key, text, size, vocabulary, with_ids), size)
+    return place(pieces(docs, key, text, size, vocabulary, small_ids if with_ids else None), size)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

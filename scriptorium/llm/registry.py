@@ -11,6 +11,7 @@ from scriptorium.llm import (
     packing,
     secret_scan,
     token_counts,
+    training_order,
     toxicity,
 )
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_training_order": training_order.op5_training_order,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
