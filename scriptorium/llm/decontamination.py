@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.lineage import stored
+from scriptorium.llm.rows import ROW, numbered
 from scriptorium.llm.tables import documents, table
 from scriptorium.llm.words import blocks, lists, split
 
@@ -350,6 +351,14 @@ def contamination(index: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    table_ = numbered(docs)
+    index = build_index(table_.rows, ROW, table_.column(text))
+    rows = contamination(index, find_items(index, items, key, item_text))
+    return table_.without(rows.where("contaminated").select("doc_id"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = build_index(documents(spark, sf_dir))
     rows = contamination(index, find_items(index, table(spark, sf_dir, "benchmark")))

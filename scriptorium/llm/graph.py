@@ -15,47 +15,45 @@ from scriptorium.lineage import stored
 from scriptorium.llm.membership import present
 
 #: Rounds in which the members of open buckets are compared with one of them.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 
 
 def _star(links: DataFrame) -> DataFrame:
     """Hang every neighbour of a node that is larger than it under the node's least neighbour."""
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    return both.where("b > a").join(least, "a").select(F.col("root").alias("a"), "b").where("a <> b")
+    hung = both.where("b > a").join(least, "a").select(F.col("root").alias("a"), "b").where("a <> b")
+    return stored(hung.distinct())
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Hang every node and its lesser neighbours under the least of them. Links have a < b."""
     least = stored(links.groupBy("b").agg(F.min("a").alias("root")))
     others = links.join(least, "b").where("a <> root").select(F.col("root").alias("a"), F.col("a").alias("b"))
-    return others.unionByName(least.select(F.col("root").alias("a"), "b"))
+    return stored(others.unionByName(least.select(F.col("root").alias("a"), "b")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(id, root)`` for every node of ``links(a, b)``; the root is the group's least node.
 
-    Alternates the two star operations until nothing changes: the links then are stars. The
-    rounds grow with the logarithm of the longest chain.
+    Alternates the two star operations until the links are stars. The rounds grow with the
+    logarithm of the longest chain.
     """
     current = stored(
         links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    mark = _mark(current)
-    while mark[0]:
-        current = stored(_small_star(stored(_star(current).distinct())).distinct())
-        before, mark = mark, _mark(current)
-        if mark == before:
-            break
+    while not _are_stars(current):
+        current = _small_star(_star(current))
     roots = current.select(F.col("b").alias("id"), F.col("a").alias("root"))
     return stored(roots.unionByName(current.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct()))
 
 
-def _mark(links: DataFrame) -> tuple:
-    """A count and two sums that tell whether a set of links has changed."""
-    h = F.xxhash64("a", "b")
-    row = links.agg(F.count("*"), F.sum(F.shiftright(h, 24)), F.sum(h.bitwiseAND(F.lit(0xFFFFFF)))).first()
-    return tuple(row)
+def _are_stars(links: DataFrame) -> bool:
+    """Whether no node hangs under two others, or under one while another hangs under it."""
+    parents = links.select(F.col("a").alias("id"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    children = links.select(F.col("b").alias("id"), F.lit(0).alias("above"), F.lit(1).alias("below"))
+    roles = parents.unionByName(children).groupBy("id").agg(F.max("above").alias("above"), F.sum("below").alias("below"))
+    return roles.where("above + below > 1").isEmpty()
 
 
 def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -75,7 +73,7 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
     degree = meeting.groupBy("id").agg(F.sum("n").alias("degree"))
     verify = prepare(degree.select("id"))
     members = stored(meeting.select("bucket", "id").join(stored(degree), "id"))
-    links = tested = roots = None
+    tested = roots = None
     for turn in range(STAR_ROUNDS + 1):
         placed = members if roots is None else members.join(roots, "id", "left")
         root = F.col("id") if roots is None else F.coalesce("root", "id")
@@ -98,9 +96,10 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
             pairs = left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        more = stored(verify(pairs).select("a", "b"))
-        links = more if links is None else links.unionByName(more)
-        roots = components(links)
+        more = verify(pairs).select("a", "b")
+        if roots is not None:
+            more = more.unionByName(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
+        roots = components(more)
     if roots is None:
         return buckets.select("id", F.col("id").alias("root")).limit(0)
     return roots

@@ -1,12 +1,11 @@
 """A filter of fixed size for the keys of a join, to keep other rows out of its shuffle."""
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.words import mix
@@ -41,24 +40,24 @@ class Membership:
         filled[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
         self._shipped = wanted.sparkSession.sparkContext.broadcast(filled)
 
-    def _where(self, frame: DataFrame, column: str, held: bool) -> DataFrame:
+    def _where(self, column: str, held: bool) -> Column:
         shipped = self._shipped
 
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                cells = _cells(batch.column(column))
-                hit = (shipped.value[cells >> 5] >> (cells & 31).astype(np.uint32)) & np.uint32(1)
-                yield batch.filter(pa.array(hit.astype(bool) == held))
+        @F.pandas_udf("boolean")
+        def test(keys: pd.Series) -> pd.Series:
+            cells = _cells(pa.array(keys))
+            hit = (shipped.value[cells >> 5] >> (cells & 31).astype(np.uint32)) & np.uint32(1)
+            return pd.Series(hit.astype(bool) == held)
 
-        return frame.mapInArrow(keep, frame.schema)
+        return test(F.col(column))  # only the key leaves the JVM
 
     def present(self, frame: DataFrame, column: str) -> DataFrame:
         """Rows whose key may be wanted."""
-        return self._where(frame, column, True)
+        return frame.where(self._where(column, True))
 
     def absent(self, frame: DataFrame, column: str) -> DataFrame:
         """Rows whose key surely is not; with ``present`` they make up the frame."""
-        return self._where(frame, column, False)
+        return frame.where(self._where(column, False))
 
 
 def present(frame: DataFrame, column: str, wanted: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from scriptorium.lineage import stored
 from scriptorium.llm.graph import linked
 from scriptorium.llm.membership import present
+from scriptorium.llm.rows import ROW, numbered
 from scriptorium.llm.tables import documents
 from scriptorium.llm.words import blocks, lists, mix, shingles, split
 
@@ -112,8 +113,8 @@ def decoded(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def described(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows ``(row, doc_id, copy, n, bag, bands)``, stored; ``row`` numbers the stored rows.
+def described(docs: DataFrame, key: str, text: str, row: str | None = None) -> DataFrame:
+    """Rows ``(row, doc_id, copy, n, bag, bands)``, stored, with numbers of their own or ``row``'s.
 
     ``copy`` identifies the multiset; it, ``bag`` and ``bands`` are null without words.
     """
@@ -129,7 +130,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        base = TaskContext.get().partitionId() << 40
         for batch in blocks(batches, "text"):
             texts = batch.num_rows
             text_of, values, weights = bags(batch.column("text"))
@@ -146,7 +147,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
             column = lists(keys.view(np.int64).ravel(), np.full(texts, BANDS), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + texts)),
+                    batch.column("row") if row else pa.array(np.arange(base, base + texts)),
                     batch.column("doc_id"),
                     pa.array([hashlib.blake2b(p.tobytes(), digest_size=16).digest() if len(p) else None for p in parts], pa.binary()),
                     pa.array(np.diff(cuts), pa.int64()),
@@ -155,9 +156,10 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ],
                 names=schema.fieldNames(),
             )
-            row += texts
+            base += texts
 
-    read = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    number = [F.col(row).alias("row")] if row else []
+    read = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *number)
     return stored(read.mapInArrow(run, schema))
 
 
@@ -187,9 +189,11 @@ def compared(rows: DataFrame, ids: DataFrame, threshold: float) -> Callable[[Dat
     return similar
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, class_id, keep)`` for every row of ``docs``."""
-    rows = described(docs, key, text)
+def groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY, row: str | None = None
+) -> DataFrame:
+    """``(row, doc_id, class_id, keep)`` for every row of ``docs``, numbered by ``row`` if given."""
+    rows = described(docs, key, text, row)
     light = rows.select("row", "doc_id", "copy")
     first = stored(light.where("copy is not null").groupBy("copy").agg(F.min("row").alias("first")))
     distinct = rows.join(first.select(F.col("first").alias("row")), "row", "left_semi")
@@ -203,11 +207,19 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     )
     least = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
     return placed.join(stored(least), "root").select(
+        "row",
         "doc_id",
         F.col("least.doc_id").alias("class_id"),
         (F.col("row") == F.col("least.row")).alias("keep"),
     )
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group."""
+    table_ = numbered(docs)
+    placed = groups(table_.rows, table_.column(key), table_.column(text), threshold, ROW)
+    return table_.without(placed.where("not keep").select("row"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(documents(spark, sf_dir))
+    return groups(documents(spark, sf_dir)).select("doc_id", "class_id", "keep")

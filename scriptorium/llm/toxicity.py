@@ -385,11 +385,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Fitted(model, curve, share)
 
 
-def scores(docs: DataFrame, fitted: Fitted, text: str = "text", columns: Sequence[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs``, by default all, and ``score``; a column of that name is replaced."""
-    names = [c for c in (columns or docs.columns) if c != "score"]
+def scores(
+    docs: DataFrame, fitted: Fitted, text: str = "text", columns: Sequence[str] | None = None, out: str = "score"
+) -> DataFrame:
+    """``columns`` of ``docs``, by default all, and the score; a column of its name is replaced."""
+    names = [c for c in (columns or docs.columns) if c != out]
     if fitted.model is None:
-        return docs.select(*names, F.lit(fitted.share).alias("score"))
+        return docs.select(*names, F.lit(fitted.share).alias(out))
     # Own names, so that none clashes with those of the evidence.
     own = {n: "text" if n == text else f"c{i}" for i, n in enumerate(names)}
     read = docs.select(*[F.col(n).alias(c) for n, c in own.items() if n != text], F.col(text).cast("string").alias("text"))
@@ -403,7 +405,12 @@ def scores(docs: DataFrame, fitted: Fitted, text: str = "text", columns: Sequenc
         + F.log1p("words") * size
     )
     score = F.when(F.col("words") == 0, F.lit(fitted.share)).otherwise(1 / (1 + F.exp(-raw)))
-    return rows.select(*[F.col(c).alias(n) for n, c in own.items()], score.alias("score"))
+    return rows.select(*[F.col(c).alias(n) for n, c in own.items()], score.alias(out))
+
+
+def without_toxic(docs: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame:
+    """``docs`` without those with a score of 0.5 or more."""
+    return scores(docs, fitted, text, out="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def learnt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
