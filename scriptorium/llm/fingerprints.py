@@ -3,7 +3,7 @@
 Each shingle of five words is hashed once. The hash's top bits choose one of ``BINS`` bins and
 each bin keeps its least hash. An empty bin borrows from the first filled bin in a fixed random
 order of its own, the same for all documents, so that likeness stays unbiased. Of each bin's
-hash ``BITS`` low-order bits are stored, one hexadecimal digit a bin. Two bins with different
+hash, salted with the bin's number, ``BITS`` low-order bits are stored, one hexadecimal digit a bin. Two bins with different
 hashes agree by chance once in 2**BITS; the estimate is corrected for that.
 
 Defined results: a null text is empty. A text without words has the empty fingerprint; two of
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.tables import documents
-from scriptorium.llm.words import BLOCK_BYTES, blocks, shingles, split
+from scriptorium.llm.words import BLOCK_BYTES, blocks, mix, shingles, split
 
 BIN_BITS = 9
 BINS = 1 << BIN_BITS
@@ -73,8 +73,9 @@ def low_bits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bins = np.full(len(texts) * BINS, _EMPTY, np.uint64)
     np.minimum.at(bins, text_of * BINS + (values >> np.uint64(64 - BIN_BITS)).astype(np.int64), values)
     bins = bins.reshape(len(texts), BINS)
-    dense = densify(bins)
-    return (dense & np.uint64((1 << BITS) - 1)).astype(np.uint8), (bins != _EMPTY).any(axis=1)
+    # Hashed with the bin's number: what agrees by chance in one bin need not in one that borrows.
+    salted = mix(densify(bins) ^ mix(np.arange(BINS, dtype=np.uint64), 61), 62)
+    return (salted & np.uint64((1 << BITS) - 1)).astype(np.uint8), (bins != _EMPTY).any(axis=1)
 
 
 def packed(bits: np.ndarray, some: np.ndarray) -> pa.Array:
