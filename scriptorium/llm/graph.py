@@ -7,6 +7,7 @@ partial aggregation and by joins that Spark may split.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +57,35 @@ def _are_stars(links: DataFrame) -> bool:
     return roles.where("above + below > 1").isEmpty()
 
 
-def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def _distinct_buckets(placed: DataFrame, open_: DataFrame) -> DataFrame:
+    """Members of the open buckets, one bucket for each set of members.
+
+    Two members alone have been compared in the first round.
+    """
+    sets = (
+        placed.groupBy("bucket")
+        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set"))
+        .where("n > 2")
+        .join(open_.select("bucket"), "bucket", "left_semi")
+    )
+    chosen = stored(sets.groupBy("n", "set").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    return placed.join(chosen, "bucket").select("bucket", "id", "root")
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """How candidates are compared.
+
+    ``verify`` turns pairs ``(a, b)``, a < b, into those that hold. ``across`` turns the members
+    ``(bucket, id, root)`` of buckets into pairs that hold and join, directly or by others, all
+    roots that some pair of a bucket's members joins; without it the pairs are made and verified.
+    """
+
+    verify: Callable[[DataFrame], DataFrame]
+    across: Callable[[DataFrame], DataFrame] | None = None
+
+
+def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Comparison]) -> DataFrame:
     """``(id, root)`` of ids that verified pairs connect, for distinct ``(bucket, id)`` pairs.
 
     In each round one member of every bucket is compared with those of the others that are not
@@ -65,13 +94,12 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
     together by a comparison each. Last, in buckets where several groups remain, all pairs that
     lie in different groups and were not compared are, so that no link between groups is lost.
 
-    ``prepare`` gets the ids that share a bucket with another, and returns what turns candidate
-    pairs ``(a, b)``, a < b, into those that hold.
+    ``prepare`` gets the ids that share a bucket with another.
     """
     sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     meeting = stored(present(buckets, "bucket", sizes.select("bucket")).join(sizes, "bucket"))
     degree = meeting.groupBy("id").agg(F.sum("n").alias("degree"))
-    verify = prepare(degree.select("id"))
+    comparison = prepare(degree.select("id"))
     members = stored(meeting.select("bucket", "id").join(stored(degree), "id"))
     tested = roots = None
     for turn in range(STAR_ROUNDS + 1):
@@ -90,13 +118,16 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFram
         if turn < STAR_ROUNDS:
             rest = placed.join(open_, "bucket").where("root <> lead_root")
             pairs = rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+            pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            more = comparison.verify(pairs).select("a", "b")
+        elif comparison.across is not None:
+            more = comparison.across(_distinct_buckets(placed, open_))
         else:
-            rest = stored(placed.join(open_.select("bucket"), "bucket").select("bucket", "id", "root"))
+            rest = stored(_distinct_buckets(placed, open_))
             left, right = rest.toDF("bucket", "a", "root_a"), rest.toDF("bucket", "b", "root_b")
             pairs = left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        more = verify(pairs).select("a", "b")
+            more = comparison.verify(stored(pairs.join(tested, ["a", "b"], "left_anti"))).select("a", "b")
         if roots is not None:
             more = more.unionByName(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
         roots = components(more)

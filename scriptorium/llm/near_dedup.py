@@ -22,7 +22,7 @@ document is the least id in its group, null ids last, and exactly one row of eac
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.lineage import stored
-from scriptorium.llm.graph import linked
-from scriptorium.llm.membership import present
+from scriptorium.llm.graph import Comparison, linked
+from scriptorium.llm.membership import Membership, present
 from scriptorium.llm.rows import ROW, numbered
 from scriptorium.llm.tables import documents
 from scriptorium.llm.words import blocks, lists, mix, shingles, split
@@ -44,6 +44,12 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
+#: Members, and elements of their multisets, that a tile of a bucket holds.
+TILE, TILE_ELEMENTS = 256, 1 << 21
+#: Columns of a tile's matrix at a time.
+COLUMNS = 1 << 14
+#: Rows of a few integers that are sent to all tasks rather than shuffled.
+BROADCAST_ROWS = 1 << 19
 _TOP = np.float64(2.0**-53)
 
 
@@ -114,15 +120,16 @@ def decoded(data: bytes) -> np.ndarray:
 
 
 def described(docs: DataFrame, key: str, text: str, row: str | None = None) -> DataFrame:
-    """Rows ``(row, doc_id, copy, n, bag, bands)``, stored, with numbers of their own or ``row``'s.
+    """Rows ``(row, doc_id, copy0, copy1, n, bag, bands)``, stored, with numbers of their own or ``row``'s.
 
-    ``copy`` identifies the multiset; it, ``bag`` and ``bands`` are null without words.
+    ``copy0`` and ``copy1`` identify the multiset; they, ``bag`` and ``bands`` are null without words.
     """
     schema = T.StructType(
         [
             T.StructField("row", T.LongType()),
             T.StructField("doc_id", docs.schema[key].dataType),
-            T.StructField("copy", T.BinaryType()),
+            T.StructField("copy0", T.LongType()),
+            T.StructField("copy1", T.LongType()),
             T.StructField("n", T.LongType()),
             T.StructField("bag", T.BinaryType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
@@ -144,12 +151,14 @@ def described(docs: DataFrame, key: str, text: str, row: str | None = None) -> D
             members, cuts = members[order], np.searchsorted(owner, np.arange(texts + 1))
             parts = [members[cuts[i] : cuts[i + 1]] for i in range(texts)]
             some = np.diff(cuts) > 0
+            digests = b"".join(hashlib.blake2b(p.tobytes(), digest_size=16).digest() for p in parts)
+            copies = np.frombuffer(digests, np.int64).reshape(-1, 2)
             column = lists(keys.view(np.int64).ravel(), np.full(texts, BANDS), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row") if row else pa.array(np.arange(base, base + texts)),
                     batch.column("doc_id"),
-                    pa.array([hashlib.blake2b(p.tobytes(), digest_size=16).digest() if len(p) else None for p in parts], pa.binary()),
+                    *[pa.array(c, pa.int64(), mask=~some) for c in copies.T],
                     pa.array(np.diff(cuts), pa.int64()),
                     pa.array([coded(p) if len(p) else None for p in parts], pa.binary()),
                     column.filter(pa.array(some)).take(pa.array(np.where(some, np.cumsum(some) - 1, 0), pa.int64(), mask=~some)),
@@ -163,12 +172,54 @@ def described(docs: DataFrame, key: str, text: str, row: str | None = None) -> D
     return stored(read.mapInArrow(run, schema))
 
 
-def compared(rows: DataFrame, ids: DataFrame, threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """A function that keeps the pairs ``(a, b)`` of ``ids`` whose multisets are similar, exactly."""
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of some sets share."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts > 1
+    column = np.cumsum(several) - 1
+    of, column = of[several[number]], column[number[several[number]]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(several.sum()), COLUMNS):
+        here = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[of[here], column[here] - low] = 1
+        shared += part @ part.T
+    return shared
+
+
+def spanning(ids: np.ndarray, roots: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """Of linked pairs of places, enough to join all roots that they join."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    kept = []
+    _, first = np.unique(roots[links], axis=0, return_index=True)
+    for i, j in links[first].tolist():
+        one, other = top(int(roots[i])), top(int(roots[j]))
+        if one != other:
+            parent[one] = other
+            kept.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return kept
+
+
+def compared(rows: DataFrame, ids: DataFrame, threshold: float) -> Comparison:
+    """Exact comparison of the multisets of ``ids``."""
     bag = present(rows.select(F.col("row").alias("id"), "n", "bag"), "id", ids)
     bag = stored(bag.join(ids, "id", "left_semi"))
     sizes = bag.select("id", "n")
 
+    def sent(keyed: DataFrame) -> DataFrame:
+        """``keyed`` rows with the multisets of their ids; few enough rows go to all tasks."""
+        few = keyed.count() <= BROADCAST_ROWS
+        return bag.select("id", "bag").join(F.broadcast(keyed) if few else keyed, "id")
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -178,15 +229,40 @@ def compared(rows: DataFrame, ids: DataFrame, threshold: float) -> Callable[[Dat
                 good.append(shared >= threshold * (len(one) + len(other) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def similar(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)
         sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(near)
         close = stored(sized.select("a", "b"))
-        whole = bag.select("id", "bag")
-        both = close.join(whole.toDF("a", "bag_a"), "a").join(whole.toDF("b", "bag_b"), "b")
+        sides = stored(close.select(F.explode(F.array("a", "b")).alias("id"), "a", "b"))
+        both = sent(sides).groupBy("a", "b").agg(
+            F.max(F.when(F.col("id") == F.col("a"), F.col("bag"))).alias("bag_a"),
+            F.max(F.when(F.col("id") == F.col("b"), F.col("bag"))).alias("bag_b"),
+        )
         return both.mapInArrow(check, "a long, b long")
 
-    return similar
+    def tile(group: pa.Table) -> pa.Table:
+        ids_, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
+        sets = [decoded(x.as_py()) for x in group.column("bag")]
+        shared, count = intersections(sets), np.array([len(x) for x in sets], np.float64)
+        good = shared >= threshold * (count[:, None] + count[None, :] - shared)
+        links = np.argwhere(good & (roots[:, None] < roots[None, :]))
+        kept = spanning(ids_, roots, links)
+        return pa.table({k: pa.array([p[i] for p in kept], pa.int64()) for i, k in enumerate("ab")})
+
+    def across(members: DataFrame) -> DataFrame:
+        """Buckets in tiles: every two tiles of a bucket meet in a task, and no pair leaves it unless it links."""
+        held = stored(members.join(sizes, "id"))
+        weight = held.groupBy("bucket").agg(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_ELEMENTS).alias("w"))
+        tiles = F.ceil("w").cast("int")
+        own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+        placed = held.join(stored(weight.select("bucket", tiles.alias("tiles"))), "bucket").withColumn("own", own)
+        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        met = placed.select("id", "root", "bucket", "own", other.alias("other")).select(
+            "id", "root", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
+        )
+        return sent(stored(met)).groupBy("bucket", "one", "two").applyInArrow(tile, "a long, b long")
+
+    return Comparison(verify, across)
 
 
 def groups(
@@ -194,16 +270,24 @@ def groups(
 ) -> DataFrame:
     """``(row, doc_id, class_id, keep)`` for every row of ``docs``, numbered by ``row`` if given."""
     rows = described(docs, key, text, row)
-    light = rows.select("row", "doc_id", "copy")
-    first = stored(light.where("copy is not null").groupBy("copy").agg(F.min("row").alias("first")))
-    distinct = rows.join(first.select(F.col("first").alias("row")), "row", "left_semi")
+    light = rows.where("copy0 is not null").select("row", "copy0", "copy1")
+    copied = stored(light.groupBy("copy0", "copy1").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copies = stored(
+        present(light, "copy0", copied.select("copy0")).join(copied, ["copy0", "copy1"]).where("row <> first").select("row", "first")
+    )
+    repeated = Membership(copies.select("row"))
+    banded = rows.where("bands is not null").select("row", "bands")
+    distinct = repeated.absent(banded, "row").unionByName(
+        repeated.present(banded, "row").join(copies.select("row"), "row", "left_anti")
+    )
     buckets = distinct.select(F.explode("bands").alias("bucket"), F.col("row").alias("id"))
     roots = linked(buckets, lambda ids: compared(rows, ids, threshold))
-    tops = first.join(roots.withColumnRenamed("id", "first"), "first", "left").select(
-        "copy", F.coalesce("root", "first").alias("root")
+    hung = copies.join(roots.withColumnRenamed("id", "first"), "first", "left").select(
+        "row", F.coalesce("root", "first").alias("root")
     )
+    known = stored(roots.select(F.col("id").alias("row"), "root").unionByName(hung))
     placed = stored(
-        light.join(tops, "copy", "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
+        rows.select("row", "doc_id").join(known, "row", "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
     )
     least = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
     return placed.join(stored(least), "root").select(
