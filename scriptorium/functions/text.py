@@ -52,75 +52,142 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def literal_offsets(
+#: Values summed one by one, and characters of a piece that a text is cut into for slices.
+BLOCK, PIECE = 256, 1024
+
+
+def _running(numbers: Column, base: Column) -> Column:
+    start = F.struct(base.cast("int").alias("total"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(
+        numbers,
+        start,
+        lambda a, x: F.struct((a.total + x).cast("int").alias("total"), F.concat(a.out, F.array(a.total)).alias("out")),
+        lambda a: a.out,
+    )
+
+
+def sums_before(values: Column) -> Column:
+    """For each of an array of integers the sum of those before it.
+
+    An array that grows is copied at every step, so the sums run over blocks of bounded size.
+    """
+
+    def spread(numbers: Column) -> Column:
+        count = F.size(numbers)
+        starts = F.when(count > 0, F.sequence(F.lit(1), count, F.lit(BLOCK))).otherwise(
+            F.array().cast("array<int>")
+        )
+        totals = F.transform(
+            starts, lambda s: F.aggregate(F.slice(numbers, s, BLOCK), F.lit(0), lambda a, x: a + x)
+        )
+        return let(
+            _running(totals, F.lit(0)),
+            lambda bases: F.flatten(
+                F.transform(starts, lambda s, i: _running(F.slice(numbers, s, BLOCK), F.get(bases, i)))
+            ),
+        )
+
+    return let(values, spread)
+
+
+def pieces(text: Column) -> Column:
+    """A text cut into pieces of ``PIECE`` characters, for ``between``."""
+    return F.transform(
+        F.sequence(F.lit(0), F.length(text), F.lit(PIECE)), lambda at: F.substring(text, at + 1, F.lit(PIECE))
+    )
+
+
+def between(cut: Column, start: Column, length: Column) -> Column:
+    """``length`` characters from ``start`` on of a text cut into ``pieces``.
+
+    Characters are counted from the start of a piece, not of the text.
+    """
+    first = F.floor(start / PIECE).cast("int")
+    count = (F.floor(length / PIECE) + 2).cast("int")
+    held = F.array_join(F.slice(cut, first + 1, count), "")
+    return F.substring(held, start - first * PIECE + 1, length)
+
+
+def matches(
     text: Column,
-    needle: str,
-    match_case: bool = True,
-    whole: bool = False,
+    pattern: str,
+    hay: Column | None = None,
     limit: int | None = None,
+    context: int = 0,
+    units: bool = False,
 ) -> Column:
-    """Character offsets of the non-overlapping matches of ``needle``, left to right.
+    """The non-overlapping matches of a regular expression, left to right.
 
-    ``limit`` stops after that many matches of one text.
+    An array of ``(offset, text, before, after)``, and with ``units`` of ``unit`` and
+    ``unit_length`` in UTF-16. The pattern is matched in ``hay``, a text with the characters of
+    ``text`` one by one in another form. Time is in proportion to the text and its matches.
     """
+    hay = text if hay is None else hay
+
+    def found(cut: Column) -> Column:
+        hits = cut["hits"] if limit is None else F.slice(cut["hits"], 1, limit)
+        gaps = F.slice(cut["gaps"], F.lit(1), F.size(hits))
+
+        def starts(measure: Callable[[Column], Column]) -> Column:
+            before_ = sums_before(F.zip_with(gaps, hits, lambda g, h: measure(g) + measure(h)))
+            return F.zip_with(before_, gaps, lambda s, g: s + measure(g))
+
+        columns = [hits.alias("h"), starts(F.length).alias("o")]
+        columns += [starts(utf16_length).alias("u")] if units else []
+
+        def row(cell: Column, parts: Column) -> Column:
+            offset, length = cell["o"], F.length(cell["h"])
+            first = F.greatest(offset - context, F.lit(0))
+            fields = [offset.alias("offset"), between(parts, offset, length).alias("text")]
+            if units:
+                fields += [cell["u"].alias("unit"), utf16_length(cell["h"]).alias("unit_length")]
+            if context:
+                fields += [
+                    between(parts, first, offset - first).alias("before"),
+                    between(parts, offset + length, F.lit(context)).alias("after"),
+                ]
+            else:
+                fields += [F.lit("").alias("before"), F.lit("").alias("after")]
+            return F.struct(*fields)
+
+        cells = F.arrays_zip(*columns)
+        return let(pieces(text), lambda parts: let(cells, lambda c: F.transform(c, lambda cell: row(cell, parts))))
+
+    cut = F.struct(
+        F.split(hay, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(hay, F.lit(pattern), F.lit(0)).alias("hits"),
+    )
+    return let(cut, found)
+
+
+def literal_pattern(needle: str, match_case: bool = True, whole: bool = False) -> str:
     wanted = needle if match_case else fold_literal(needle)
+    return whole_word(quoted(wanted)) if whole else quoted(wanted)
+
+
+def literal_matches(
+    text: Column, needle: str, match_case: bool = True, whole: bool = False, limit: int | None = None,
+    context: int = 0, units: bool = False,
+) -> Column:
+    """``matches`` of a literal."""
     hay = text if match_case else fold(text)
-    pattern = whole_word(quoted(wanted)) if whole else quoted(wanted)
-    width = len(wanted)
-
-    def step(state: Column, gap: Column) -> Column:
-        offset = state["next"] + F.length(gap)
-        return F.struct(
-            (offset + width).alias("next"),
-            F.concat(state["found"], F.array(offset)).alias("found"),
-        )
+    return matches(text, literal_pattern(needle, match_case, whole), hay, limit, context, units)
 
-    def offsets(gaps: Column) -> Column:
-        count = F.size(gaps) - 1
-        if limit is not None:
-            count = F.least(count, F.lit(limit))
-        return F.aggregate(
-            F.slice(gaps, F.lit(1), count),
-            F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("found")),
-            step,
-            lambda state: state["found"],
-        )
 
-    return let(F.split(hay, pattern, -1), offsets)
+def literal_offsets(
+    text: Column,
+    needle: str,
+    match_case: bool = True,
+    whole: bool = False,
+    limit: int | None = None,
+) -> Column:
+    """Character offsets of the non-overlapping matches of ``needle``, left to right."""
+    return F.transform(literal_matches(text, needle, match_case, whole, limit), lambda m: m["offset"])
 
 
 def pattern_spans(text: Column, pattern: str, limit: int | None = None) -> Column:
     """Offset and text of each non-overlapping match of a regular expression."""
-    def step(state: Column, item: Column) -> Column:
-        offset = state["next"] + F.length(item["gap"])
-        return F.struct(
-            (offset + F.length(item["hit"])).alias("next"),
-            F.concat(
-                state["found"],
-                F.array(F.struct(offset.alias("offset"), item["hit"].alias("text"))),
-            ).alias("found"),
-        )
-
-    def spans(cut: Column) -> Column:
-        count = F.size(cut["hits"])
-        if limit is not None:
-            count = F.least(count, F.lit(limit))
-        none = F.array().cast("array<struct<offset:int,text:string>>")
-        return F.aggregate(
-            F.arrays_zip(
-                F.slice(cut["gaps"], F.lit(1), count).alias("gap"),
-                F.slice(cut["hits"], F.lit(1), count).alias("hit"),
-            ),
-            F.struct(F.lit(0).alias("next"), none.alias("found")),
-            step,
-            lambda state: state["found"],
-        )
-
-    cut = F.struct(
-        F.split(text, pattern, -1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
-    )
-    return let(cut, spans)
+    return matches(text, pattern, limit=limit)
 
 
 def utf16_length(text: Column) -> Column:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
+from scriptorium.lineage import cut
 from scriptorium.operators.carry import overlap_join
 from scriptorium.operators.positions import positions
-from scriptorium.schema import MAX_FIND_UNITS, check, check_search, with_story
+from scriptorium.schema import check, check_search, with_story
 
 _FIELDS = ("part", "story", "idx", "offset", "length", "text", "before", "after", "note_id")
 
@@ -21,15 +22,14 @@ def find(
     text: str,
     match_case: bool = True,
     whole_word: bool = False,
-    max_results: int | None = 50,
+    max_results: int | None = None,
     context_chars: int = 40,
     scope: str = "body",
 ) -> DataFrame:
-    """Matches with character offsets and context, at most ``max_results`` per document.
+    """All matches with character offsets and context. Narrow: nothing is shuffled.
 
-    Everything up to the cap is a narrow projection. ``match_no`` numbers the matches of a
-    document across its stories; ``truncated`` tells that the cap left matches out. With
-    ``max_results=None`` every match is returned and nothing is shuffled.
+    A ``max_results`` keeps so many per document, numbered across its stories by ``match_no``;
+    ``truncated`` tells that it left matches out.
     """
     check_search(text, max_results, context_chars)
     check(scope in ("body", "all"), "scope must be body or all")
@@ -40,30 +40,21 @@ def find(
     body = F.col("text")
     hay = body if match_case else X.fold(body)
     wanted = text if match_case else X.fold_literal(text)
-    offsets = X.literal_offsets(body, text, match_case, whole_word, limit)
-    length = len(wanted)
-    hits = searched.where(hay.contains(F.lit(wanted))).select(
-        "doc_id",
-        "story_ord",
-        "part",
-        "story",
-        "idx",
-        F.explode(offsets).alias("offset"),
-        body.alias("_body"),
-        "note_id",
+    hits = X.literal_matches(body, text, match_case, whole_word, limit, context_chars)
+    found = searched.where(hay.contains(F.lit(wanted))).select(
+        "doc_id", "story_ord", "part", "story", "idx", F.explode(hits).alias("_m"), "note_id"
     )
-    at = F.col("offset")
-    found = hits.select(
+    found = found.select(
         "doc_id",
         "story_ord",
         "part",
         "story",
         "idx",
-        "offset",
-        F.lit(length).alias("length"),
-        F.substring("_body", at + 1, F.lit(length)).alias("text"),
-        X.before(F.col("_body"), at, context_chars).alias("before"),
-        X.after(F.col("_body"), at + length, context_chars).alias("after"),
+        "_m.offset",
+        F.lit(len(wanted)).alias("length"),
+        "_m.text",
+        "_m.before",
+        "_m.after",
         "note_id",
     )
     if max_results is None:
@@ -91,10 +82,10 @@ def match_summary(
     text: str,
     match_case: bool = True,
     whole_word: bool = False,
-    max_results: int = 50,
+    max_results: int | None = None,
     scope: str = "body",
 ) -> DataFrame:
-    """Per document with matches: how many are returned, and whether some are left out.
+    """Per document with matches: how many there are, and whether more than ``max_results``.
 
     Counts matches per paragraph and adds them up, so no match row is ever built.
     """
@@ -113,8 +104,8 @@ def match_summary(
         .where("_all > 0")
         .select(
             "doc_id",
-            F.least(F.col("_all"), F.lit(max_results)).alias("count"),
-            (F.col("_all") > max_results).alias("truncated"),
+            F.col("_all").alias("count"),
+            (F.lit(False) if max_results is None else F.col("_all") > max_results).alias("truncated"),
         )
     )
 
@@ -122,31 +113,54 @@ def match_summary(
 def find_each(
     paragraphs: DataFrame, terms: DataFrame, context_chars: int = 40
 ) -> DataFrame:
-    """Whole-word matches of many single-word search texts in one pass.
+    """Whole-word matches of many search texts in one pass.
 
-    ``terms`` holds distinct texts in ``term``, each one a word without white space or
-    punctuation. Paragraphs are cut into words once and joined on the word, so the cost
-    does not grow with paragraphs times terms. Words are pre-filtered per paragraph, and
-    whether the terms are broadcast is left to the optimizer, which checks their size.
+    ``terms`` holds texts in ``term``, of one word or more, with anything between and around
+    them; one without any word is an error. Paragraphs are cut into words once. Bare words are
+    joined with the first words of the terms, so the cost does not grow with paragraphs times
+    terms, and only then texts and contexts are looked at. Nothing is aggregated between the
+    shuffles and the join, so a frequent word can be split over tasks.
     """
     word = f"(?<![{X.WORD_CLASS}])[{X.WORD_CLASS}]+(?![{X.WORD_CLASS}])"
-    spans = X.pattern_spans(F.col("text"), word)
-    words = with_story(paragraphs).select(
-        "doc_id", "part", "story", "idx", "text", F.explode(spans).alias("_w")
+    first = F.regexp_extract("term", word, 0)
+    lead = F.length(F.split("term", word, 2)[0])
+    no_word = F.raise_error(F.concat(F.lit("a search text without a word: "), "term"))
+    keyed = cut(
+        terms.where("term is not null").select("term").distinct().select(
+            "term", F.when(first == "", no_word).otherwise(first).alias("_word"), lead.alias("_lead")
+        )
     )
-    hits = words.select(
-        "doc_id",
-        "part",
-        "story",
-        "idx",
-        F.col("_w.text").alias("term"),
-        F.col("_w.offset").alias("offset"),
-        X.before(F.col("text"), F.col("_w.offset"), context_chars).alias("before"),
-        X.after(
-            F.col("text"), F.col("_w.offset") + F.length("_w.text"), context_chars
-        ).alias("after"),
+    spans = F.transform(X.pattern_spans(F.col("text"), word), lambda m: F.struct(m["offset"].alias("at"), m["text"].alias("word")))
+    story = with_story(paragraphs).select("doc_id", "part", "story", "idx", "text")
+    words = story.select("doc_id", "part", "story", "idx", F.explode(spans).alias("_w"))
+    places = words.select("doc_id", "part", "story", "idx", "_w.at", F.col("_w.word").alias("_word")).join(keyed, "_word").where("at >= _lead")
+    wanted = places.groupBy("doc_id", "part", "story", "idx").agg(
+        F.collect_list(F.struct("term", (F.col("at") - F.col("_lead")).alias("offset"))).alias("_hits")
     )
-    return hits.join(terms.select("term").distinct(), "term").select(
+    keys = ["doc_id", "part", "story", "idx"]
+    wanted = wanted.toDF(*[f"_{k}" for k in keys], "_hits")
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    joined = story.join(wanted, same).select(*keys, "text", "_hits")
+    edge = f"[{X.WORD_CLASS}]"
+
+    def looked_up(hit: Column, parts: Column) -> Column:
+        length = F.length(hit["term"])
+        start = F.greatest(hit["offset"] - context_chars, F.lit(0))
+        return F.struct(
+            hit["term"].alias("term"),
+            hit["offset"].alias("offset"),
+            X.between(parts, hit["offset"], length).alias("held"),
+            X.between(parts, F.greatest(hit["offset"] - 1, F.lit(0)), F.least(hit["offset"], F.lit(1))).alias("left"),
+            X.between(parts, hit["offset"] + length, F.lit(1)).alias("right"),
+            X.between(parts, start, hit["offset"] - start).alias("before"),
+            X.between(parts, hit["offset"] + length, F.lit(context_chars)).alias("after"),
+        )
+
+    cells = X.let(X.pieces(F.col("text")), lambda parts: F.transform("_hits", lambda h: looked_up(h, parts)))
+    rows = joined.select(*keys, F.explode(cells).alias("_h")).select(*keys, "_h.*")
+    return rows.where((F.col("held") == F.col("term")) & ~F.col("left").rlike(edge) & ~F.col("right").rlike(edge)).select(
         "doc_id", "term", "part", "story", "idx", "offset", "before", "after"
     )
 
@@ -185,16 +199,15 @@ def find_positions(
     match_case: bool = True,
     whole_word: bool = False,
     wildcards: bool = False,
-    max_results: int | None = 50,
+    max_results: int | None = None,
     context_chars: int = 40,
 ) -> DataFrame:
     """Matches with UTF-16 positions in the whole story; context crosses paragraph ends.
 
-    The context of the capped matches is read by an interval join on position buckets.
+    The context of the matches is read by an interval join on position buckets.
     """
     check_search(text, max_results, context_chars)
-    check("\r" not in text, "a search text cannot span paragraphs")
-    check(len(text.encode("utf-16-le")) // 2 <= MAX_FIND_UNITS, "text exceeds 255 UTF-16 units")
+    check("\r" not in text, "a search text cannot hold a paragraph mark")
     limit = None if max_results is None else max_results + 1
     body = F.col("text")
     if wildcards:
@@ -203,21 +216,17 @@ def find_positions(
             pattern = "(?iu)" + pattern
         if whole_word:
             pattern = X.whole_word(pattern)
-        spans = F.filter(X.pattern_spans(body, pattern, limit), lambda m: F.length(m["text"]) > 0)
-        matched = F.col("_m.text")
-        offset = F.col("_m.offset")
+        spans = F.filter(X.matches(body, pattern, limit=limit, units=True), lambda m: F.length(m["text"]) > 0)
     else:
-        spans = X.literal_offsets(body, text, match_case, whole_word, limit)
-        offset = F.col("_m")
-        matched = F.substring(body, offset + 1, F.lit(len(text)))
+        spans = X.literal_matches(body, text, match_case, whole_word, limit, units=True)
     placed = positions(paragraphs)
-    hits = placed.select("doc_id", "idx", "start", "text", F.explode(spans).alias("_m")).select(
+    hits = placed.select("doc_id", "idx", "start", F.explode(spans).alias("_m")).select(
         "doc_id",
         F.col("idx").alias("paragraph"),
-        (F.col("start") + X.utf16_length(F.substring(body, F.lit(1), offset))).alias("start"),
-        matched.alias("text"),
+        (F.col("start") + F.col("_m.unit")).alias("start"),
+        F.col("_m.text").alias("text"),
+        (F.col("start") + F.col("_m.unit") + F.col("_m.unit_length")).alias("end"),
     )
-    hits = hits.withColumn("end", F.col("start") + X.utf16_length(F.col("text")))
     if max_results is not None:
         hits = cap(hits, ["start"], max_results)
     return hits if context_chars == 0 else with_context(hits, placed, context_chars)
@@ -251,7 +260,7 @@ def with_context(hits: DataFrame, placed: DataFrame, units: int) -> DataFrame:
                 begin.alias("o"), cut("lo", "at").alias("b"), cut("stop", "hi").alias("a")
             ).alias("_p"),
         )
-        # At most 1000 units on either side, so a group is small.
+        # Pieces of one match's surroundings, so a group is small.
         .groupBy("doc_id", "at")
         .agg(F.array_sort(F.collect_list("_p")).alias("_p"))
         .select(

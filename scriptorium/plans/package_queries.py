@@ -32,15 +32,15 @@ def _style(style_id: str, name: str, inner: str = "", default: str = "") -> str:
 # The style sheet, list definitions and footnote every package of the queries carries.
 STYLES = _part(
     "styles",
-    '<w:docDefaults><w:pPrDefault><w:pPr><w:spacing w:after="160" w:line="276" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults>'
-    + _style("Normal", "Normal", default=' w:default="1"')
+    '<w:docDefaults><w:pPrDefault><w:pPr><w:spacing w:after="80" w:line="360" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults>'
+    + _style("Running", "Running", default=' w:default="1"')
     + _style(
-        "Heading1",
+        "Opening",
         "heading 1",
-        '<w:basedOn w:val="Normal"/><w:pPr><w:keepNext/><w:spacing w:before="240"/><w:outlineLvl w:val="0"/></w:pPr>',
+        '<w:basedOn w:val="Running"/><w:pPr><w:keepNext/><w:spacing w:before="400"/><w:outlineLvl w:val="0"/></w:pPr>',
     )
-    + _style("Chapter", "Chapter", '<w:basedOn w:val="Heading1"/>')
-    + _style("Section", "heading 2", '<w:pPr><w:ind w:left="720"/></w:pPr>'),
+    + _style("Passage", "Passage", '<w:basedOn w:val="Opening"/>')
+    + _style("Clause", "heading 2", '<w:pPr><w:ind w:left="500"/></w:pPr>'),
 )
 NUMBERING = _part(
     "numbering",
@@ -71,7 +71,7 @@ def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
     return lines(spark, sf_dir).withColumns(
         {
-            "style": F.when(eighth == 0, "Heading1").when(eighth == 3, "Chapter").when(eighth == 5, "Section"),
+            "style": F.when(eighth == 0, "Opening").when(eighth == 3, "Passage").when(eighth == 5, "Clause"),
             "num_id": F.when(eighth.isin(1, 2), F.lit("2")).otherwise(none.cast("string")),
             "level": eighth - 1,
             "alignment": F.when(eighth == 4, "center"),
@@ -221,7 +221,7 @@ QUERIES = {
 }
 
 _STYLED = """styled AS (SELECT *, idx % 8 AS m,
-  CASE idx % 8 WHEN 0 THEN 'Heading1' WHEN 3 THEN 'Chapter' WHEN 5 THEN 'Section' END AS "style" FROM lines)"""
+  CASE idx % 8 WHEN 0 THEN 'Opening' WHEN 3 THEN 'Passage' WHEN 5 THEN 'Clause' END AS "style" FROM lines)"""
 _LEVEL = "CAST(CASE m WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 2 END AS INTEGER)"
 _NAMES = (
     "[Content_Types].xml", "_rels/.rels", "word/_rels/document.xml.rels", "word/styles.xml",
@@ -254,7 +254,7 @@ SELECT doc_id, count(*) AS paragraph_count, CAST(sum(length(text)) AS BIGINT) AS
   ([{", ".join(f"'{kind}'" for kind in _TYPES)}])[i] AS content_type
 FROM (SELECT doc_id, unnest(generate_series(1, 7)) AS i FROM documents)""",
     "docx_part_text": f"""SELECT doc_id, CAST({len(NUMBERING.encode())} AS INTEGER) AS size, '{NUMBERING}' AS text,
-  FALSE AS truncated, CAST(NULL AS VARCHAR) AS reason FROM documents""",
+  CAST(NULL AS VARCHAR) AS reason FROM documents""",
     "docx_relationships": f"""SELECT doc_id, '' AS source, 'rId1' AS rel_id, '{REL["officeDocument"]}' AS kind,
   'word/document.xml' AS target, FALSE AS "external", 'word/document.xml' AS target_part FROM documents
 UNION ALL SELECT doc_id, 'word/document.xml', 'rId' || i, '{REL["styles"].rsplit("/", 1)[0]}/' || k[i], k[i] || '.xml', FALSE,
@@ -276,11 +276,11 @@ FROM ranked WHERE n <= 5""",
     "docx_outline": f"""WITH {LINES_SQL}, {_STYLED}
 SELECT doc_id, idx, {_LEVEL} AS level, text, "style" FROM styled WHERE m IN (0, 3, 5)""",
     "docx_formatting": f"""WITH {LINES_SQL}, {_STYLED}
-SELECT doc_id, idx, coalesce("style", 'Normal') AS style_id,
-  CASE m WHEN 0 THEN 'heading 1' WHEN 3 THEN 'Chapter' WHEN 5 THEN 'heading 2' ELSE 'Normal' END AS style_name,
+SELECT doc_id, idx, coalesce("style", 'Running') AS style_id,
+  CASE m WHEN 0 THEN 'heading 1' WHEN 3 THEN 'Passage' WHEN 5 THEN 'heading 2' ELSE 'Running' END AS style_name,
   CASE WHEN m = 4 THEN 'center' END AS alignment,
-  CAST(CASE WHEN m IN (0, 3) THEN 12 END AS DOUBLE) AS before_pt, CAST(8 AS DOUBLE) AS after_pt,
-  CAST(1.15 AS DOUBLE) AS line, 'multiple' AS line_rule, CAST(CASE WHEN m = 5 THEN 36 END AS DOUBLE) AS left_pt,
+  CAST(CASE WHEN m IN (0, 3) THEN 20 END AS DOUBLE) AS before_pt, CAST(4 AS DOUBLE) AS after_pt,
+  CAST(1.5 AS DOUBLE) AS line, 'multiple' AS line_rule, CAST(CASE WHEN m = 5 THEN 25 END AS DOUBLE) AS left_pt,
   CASE WHEN m IN (1, 2) THEN '2' END AS num_id, CAST(CASE WHEN m IN (1, 2) THEN m - 1 END AS INTEGER) AS ilvl,
   CASE WHEN m IN (1, 2) THEN 'decimal' END AS format, CASE m WHEN 1 THEN '%1.' WHEN 2 THEN '%2)' END AS level_text,
   m IN (0, 3) AS keep_next, {_LEVEL} AS outline_level, CAST(CASE WHEN text = '' THEN 0 ELSE 1 END AS INTEGER) AS run_count

@@ -328,7 +328,7 @@ UNION ALL SELECT DISTINCT l_orderkey, CAST(0 AS INTEGER), 'line' || chr(9) || 'q
   SELECT c_nationkey AS doc_id, c_custkey AS style_id, c_custkey - 25 AS based_on FROM customer),
 walk AS (SELECT doc_id, style_id, style_id AS ancestor, 0 AS depth, based_on FROM links
   UNION ALL SELECT w.doc_id, w.style_id, l.style_id, w.depth + 1, l.based_on
-  FROM walk w JOIN links l ON l.doc_id = w.doc_id AND l.style_id = w.based_on WHERE w.depth < 31)
+  FROM walk w JOIN links l ON l.doc_id = w.doc_id AND l.style_id = w.based_on)
 SELECT doc_id, CAST(style_id AS VARCHAR) AS style_id, CAST(ancestor AS VARCHAR) AS ancestor,
   CAST(depth AS INTEGER) AS depth FROM walk""",
 }

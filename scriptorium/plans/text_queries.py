@@ -15,7 +15,7 @@ from scriptorium.plans.tables import lines, table, turns
 LINES_SQL = """lines AS (
   SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, parts[i] AS text
   FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"""
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))"""
 TURNS_SQL = """turns AS (
   SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS idx, text FROM conversations)"""
 
@@ -72,7 +72,7 @@ def paragraph_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.joined_text(lines(spark, sf_dir), start=1, limit=20)
+    return P.joined_text(lines(spark, sf_dir), chunk=64)
 
 
 def find_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def find_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.find(turns(spark, sf_dir), NEEDLE, max_results=50, context_chars=12)
+    return S.find(turns(spark, sf_dir), NEEDLE, context_chars=12)
 
 
 def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +100,15 @@ def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def find_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.regexp_extract("text", "^([A-Za-z]+)", 1)
-    terms = table(spark, sf_dir, "benchmark").select(first.alias("term")).where("term != ''")
+    """The first word and the first two words of every benchmark item."""
+    heads = [F.substring_index("text", " ", n).alias("term") for n in (1, 2)]
+    items = table(spark, sf_dir, "benchmark")
+    terms = items.select(F.explode(F.array(*heads)).alias("term")).where(F.col("term").rlike(r"[\p{L}\p{N}_]"))
     return S.find_each(lines(spark, sf_dir), terms)
 
 
 def find_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.find_positions(lines(spark, sf_dir), "with", context_chars=60).drop("match_no")
+    return S.find_positions(lines(spark, sf_dir), "with", context_chars=60)
 
 
 def find_wildcards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +196,9 @@ SELECT doc_id, idx, text, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) A
 FROM lines""",
     "paragraph_page": f"WITH {LINES_SQL} SELECT * FROM lines WHERE idx BETWEEN 2 AND 6",
     "joined_text": f"""WITH {LINES_SQL}
-SELECT doc_id, CAST(0 AS INTEGER) AS piece, string_agg(text, chr(10) ORDER BY idx) AS text
-FROM lines WHERE idx BETWEEN 1 AND 20 GROUP BY doc_id""",
+SELECT doc_id, CAST(idx // 64 AS INTEGER) AS piece,
+  CASE WHEN idx // 64 > 0 THEN chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY idx) AS text
+FROM lines GROUP BY doc_id, idx // 64""",
     "find_literal": f"WITH {LINES_SQL}, {_found_sql('lines', 'the')} SELECT {_FOUND} FROM found",
     "find_casefold": f"""WITH {LINES_SQL}, {_found_sql("lines", "the", "lower(text)")}
 SELECT {_FOUND} FROM found""",
@@ -207,22 +210,19 @@ WHERE NOT regexp_matches(right("before", 1), '[\\p{{L}}\\p{{N}}_]')
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, "offset") AS n,
   count(*) OVER (PARTITION BY doc_id) AS c FROM found)
 SELECT {_FOUND}, CAST(n AS INTEGER) AS match_no, c > 10 AS truncated FROM ranked WHERE n <= 10""",
-    "find_turns": f"""WITH {TURNS_SQL}, {_found_sql("turns", "the", context=12)},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, "offset") AS n,
-  count(*) OVER (PARTITION BY doc_id) AS c FROM found)
-SELECT {_FOUND}, CAST(n AS INTEGER) AS match_no, c > 50 AS truncated FROM ranked WHERE n <= 50""",
+    "find_turns": f"""WITH {TURNS_SQL}, {_found_sql("turns", "the", context=12)}
+SELECT {_FOUND} FROM found""",
     "match_summary": f"""WITH {LINES_SQL}, {_found_sql("lines", "the")}
-SELECT doc_id, least(count(*), 50) AS "count", count(*) > 50 AS truncated
+SELECT doc_id, count(*) AS "count", count(*) > 50 AS truncated
 FROM found GROUP BY doc_id""",
     "find_each": f"""WITH {LINES_SQL},
-terms AS (SELECT DISTINCT regexp_extract(text, '^([A-Za-z]+)', 1) AS term FROM benchmark),
-words AS (SELECT doc_id, idx, text,
-    string_split(regexp_replace(text, '([\\p{{L}}\\p{{N}}_]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS g
-  FROM lines),
-split_words AS (SELECT doc_id, idx, text, g, unnest(generate_series(2, len(g), 2)) AS k FROM words),
-hits AS (SELECT doc_id, idx, text, g[k] AS term,
-    CAST(list_sum(list_transform(g[1:k - 1], lambda x: length(x))) AS INTEGER) AS "offset"
-  FROM split_words WHERE g[k] IN (SELECT term FROM terms WHERE term <> ''))
+terms AS (SELECT DISTINCT unnest([string_split(text, ' ')[1], array_to_string(string_split(text, ' ')[1:2], ' ')]) AS term FROM benchmark),
+places AS (SELECT doc_id, idx, text, term, unnest(generate_series(0, length(text) - length(term))) AS spot
+  FROM lines JOIN terms ON contains(text, term) WHERE regexp_matches(term, '[\\p{{L}}\\p{{N}}_]')),
+hits AS (SELECT doc_id, idx, text, term, CAST(spot AS INTEGER) AS "offset" FROM places
+  WHERE substring(text, spot + 1, length(term)) = term
+    AND NOT regexp_matches(CASE WHEN spot > 0 THEN substring(text, spot, 1) ELSE '' END, '[\\p{{L}}\\p{{N}}_]')
+    AND NOT regexp_matches(substring(text, spot + length(term) + 1, 1), '[\\p{{L}}\\p{{N}}_]'))
 SELECT doc_id, term, 'word/document.xml' AS part, 'body' AS story, idx, "offset",
   substring(text, greatest("offset" - 40, 0) + 1, "offset" - greatest("offset" - 40, 0)) AS "before",
   substring(text, "offset" + length(term) + 1, 40) AS "after"
@@ -231,13 +231,11 @@ FROM hits""",
 stories AS ({_STORY}),
 hits2 AS (SELECT f.doc_id, f.idx AS paragraph, f.text,
     CAST(p."start" + {units_sql("substring(f.body, 1, f.offset)")} AS INTEGER) AS "start"
-  FROM found f JOIN placed p ON f.doc_id = p.doc_id AND f.idx = p.idx),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start") AS n,
-  count(*) OVER (PARTITION BY doc_id) AS c FROM hits2)
-SELECT r.doc_id, paragraph, text, "start", CAST("start" + 4 AS INTEGER) AS "end", c > 50 AS truncated,
+  FROM found f JOIN placed p ON f.doc_id = p.doc_id AND f.idx = p.idx)
+SELECT r.doc_id, paragraph, text, "start", CAST("start" + 4 AS INTEGER) AS "end",
   substring(story, greatest("start" - 60, 0) + 1, "start" - greatest("start" - 60, 0)) AS "before",
   substring(story, "start" + 5, 60) AS "after"
-FROM ranked r JOIN stories s ON r.doc_id = s.doc_id WHERE n <= 50""",
+FROM hits2 r JOIN stories s ON r.doc_id = s.doc_id""",
     "find_wildcards": f"""WITH {LINES_SQL}, {positions_sql("lines")},
 marked AS (SELECT doc_id, idx, "start" AS base,
     string_split(regexp_replace(text, '(t[hn].o)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS g

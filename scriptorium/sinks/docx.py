@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
-import re
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +23,6 @@ from scriptorium.schema import (
     CONTENT_TYPES_NS,
     CONTENT_TYPES_PART,
     DOCUMENT_PART,
-    MAX_ELEMENTS,
-    MAX_XML,
     OFFICE_REL_NS,
     PACKAGE_REL_NS,
     REL,
@@ -48,6 +49,8 @@ PAGE_SETUP = (
     '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:right="1440" '
     'w:bottom="1440" w:left="1440" w:header="720" w:footer="720" w:gutter="0"/></w:sectPr>'
 )
+#: Characters of a file name before its extension, at most.
+LONGEST_NAME = 180
 _DECLARATION = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
 _HEAD = f'{_DECLARATION}<w:document xmlns:w="{WORD_NS}" xmlns:r="{OFFICE_REL_NS}"><w:body>'
 _TAIL = f"{PAGE_SETUP}</w:body></w:document>"
@@ -139,11 +142,11 @@ def paragraph_xml(paragraphs: DataFrame, runs: DataFrame | None = None) -> DataF
     """
     properties = _paragraph_properties(paragraphs.columns)
     if runs is None:
-        content = F.concat(F.lit("<w:r>"), text_xml(F.col("text")), F.lit("</w:r>"))
+        content = F.concat(F.lit("<w:r>"), text_xml(F.coalesce("text", F.lit(""))), F.lit("</w:r>"))
         source = paragraphs
     else:
         xml = F.concat(
-            F.lit("<w:r>"), _run_properties(runs.columns), text_xml(F.col("text")), F.lit("</w:r>")
+            F.lit("<w:r>"), _run_properties(runs.columns), text_xml(F.coalesce("text", F.lit(""))), F.lit("</w:r>")
         )
         joined = runs.groupBy("doc_id", "idx").agg(
             X.concat_items(F.array_sort(F.collect_list(F.struct("run", xml.alias("f")))), "f").alias("_runs")
@@ -151,7 +154,7 @@ def paragraph_xml(paragraphs: DataFrame, runs: DataFrame | None = None) -> DataF
         source = paragraphs.join(joined, ["doc_id", "idx"], "left")
         content = F.coalesce("_runs", F.lit(""))
     body = F.concat(F.lit("<w:p>"), properties, content, F.lit("</w:p>"))
-    # Concatenation is null when any value is; the text decides alone.
+    # A null text is an empty paragraph: dropping it would move all later ordinals.
     return source.select("doc_id", "idx", body.alias("xml"))
 
 
@@ -205,31 +208,17 @@ def packages(
 ) -> Written:
     """One package per document: ``(doc_id, content)``.
 
-    Documents a reader would refuse (a body over 16 MiB or 250 000 elements, or text XML
-    cannot hold) are rejected by sums over their paragraphs, before any document is put
-    together, so every group that is collected is bounded.
+    Documents with text that XML cannot hold are rejected before any document is put together.
+    A package is one file, so the paragraphs of a document meet in one row.
     """
     xml = paragraph_xml(paragraphs, runs)
     invalid = ~X.valid_xml_text(F.col("xml"))
-    limits = xml.groupBy("doc_id").agg(
-        F.sum(F.octet_length("xml")).alias("_bytes"),
-        F.sum(F.regexp_count("xml", F.lit("<[^/]"))).alias("_elements"),
-        F.bool_or(invalid).alias("_invalid"),
-    )
-    overhead = len(_HEAD.encode()) + len(_TAIL.encode())
-    reason = (
-        F.when(F.col("_invalid"), "text contains an invalid XML control character")
-        .when(F.col("_bytes") + overhead > MAX_XML, "XML part exceeds 16 MiB limit")
-        # The document, its body and the three page setup elements count too.
-        .when(F.col("_elements") + 5 > MAX_ELEMENTS, "XML exceeds 250000 element limit")
-    )
+    limits = xml.groupBy("doc_id").agg(F.bool_or(invalid).alias("_invalid"))
+    reason = F.when(F.col("_invalid"), "a character that XML cannot hold")
     judged = limits.select("doc_id", reason.alias("reason"))
     rejects = judged.where("reason is not null")
     kept = xml.join(rejects, "doc_id", "left_anti")
-    # An explicit number of partitions: the next step costs Python time per document, so
-    # partitions must not be merged for holding few bytes. The grouping reuses them.
-    partitions = int(paragraphs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bodies = kept.repartition(partitions, "doc_id").groupBy("doc_id").agg(
+    bodies = kept.groupBy("doc_id").agg(
         F.concat(
             F.lit(_HEAD),
             X.concat_items(F.array_sort(F.collect_list(F.struct("idx", F.col("xml").alias("f")))), "f"),
@@ -252,9 +241,15 @@ def packages(
 
 
 def file_name(doc_id: object) -> str:
-    """A file name for a document id: its last path segment without the extension."""
-    stem = re.sub(r"\.[^./]*$", "", str(doc_id).rsplit("/", 1)[-1])
-    return f"{stem}.docx"
+    """A file name for a document id: its whole text, escaped, so that no two ids share one.
+
+    Letters, digits, ``_``, ``.``, ``-`` and ``~`` stand for themselves and other bytes for ``=``
+    and two digits. A longer name is cut and ends in a hash of the id.
+    """
+    name = quote(str(doc_id), safe="").replace("%", "=")
+    if len(name) > LONGEST_NAME:
+        name = f"{name[: LONGEST_NAME - 33]}-{hashlib.md5(str(doc_id).encode()).hexdigest()}"
+    return f"{name}.docx"
 
 
 def write_packages(files: DataFrame, directory: str, overwrite: bool = False) -> DataFrame:
@@ -263,7 +258,9 @@ def write_packages(files: DataFrame, directory: str, overwrite: bool = False) ->
     ``directory`` is any URI Arrow can open. A file is written under a temporary name and
     moved into place; archives are deterministic, so a retried or duplicated task leaves
     the same file. Without ``overwrite`` a different file in the way is kept and reported.
-    The manifest ``(doc_id, path, written, reason)`` is stored below ``_manifest``.
+    Documents with the same id are refused, all but one, rather than written over each other.
+    The manifest ``(doc_id, path, written, reason)`` of each call is stored in a folder of its own
+    below ``_manifest``; earlier ones stay.
     """
     doc_type = files.schema["doc_id"].dataType
 
@@ -271,9 +268,9 @@ def write_packages(files: DataFrame, directory: str, overwrite: bool = False) ->
         system, root = pafs.FileSystem.from_uri(directory)
         for batch in batches:
             rows = []
-            for doc_id, content in zip(batch["doc_id"], batch["content"]):
+            for doc_id, content, number in zip(batch["doc_id"], batch["content"], batch["_number"]):
                 path = f"{root}/{file_name(doc_id)}"
-                reason = _place(system, path, content, overwrite)
+                reason = "another document has this id" if number > 1 else _place(system, path, content, overwrite)
                 rows.append((doc_id, path, reason is None, reason))
             yield pd.DataFrame(rows, columns=["doc_id", "path", "written", "reason"])
 
@@ -285,21 +282,28 @@ def write_packages(files: DataFrame, directory: str, overwrite: bool = False) ->
             T.StructField("reason", T.StringType()),
         ]
     )
-    pafs.FileSystem.from_uri(directory)[0].create_dir(pafs.FileSystem.from_uri(directory)[1], recursive=True)
-    manifest = f"{directory}/_manifest"
-    files.select("doc_id", "content").mapInPandas(write, schema).write.mode("overwrite").parquet(manifest)
+    system, root = pafs.FileSystem.from_uri(directory)
+    system.create_dir(root, recursive=True)
+    manifest = f"{directory}/_manifest/{uuid.uuid4().hex}"
+    same = W.partitionBy("doc_id").orderBy(F.xxhash64("content"))
+    numbered = files.select("doc_id", "content", F.row_number().over(same).alias("_number"))
+    numbered.mapInPandas(write, schema).write.parquet(manifest)
     return files.sparkSession.read.schema(schema).parquet(manifest)
 
 
 def _place(system: pafs.FileSystem, path: str, content: bytes, overwrite: bool) -> str | None:
     """Put one file in place; tells why it was not."""
-    if not overwrite and system.get_file_info(path).type == pafs.FileType.File:
+    there = system.get_file_info(path).type == pafs.FileType.File
+    if there:
         with system.open_input_stream(path) as stream:
             same = stream.read() == content
-        return None if same else "file exists"
-    temporary = f"{path}.{id(content):x}.part"
+        if same or not overwrite:
+            return None if same else "a different file is there"
+    temporary = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(temporary) as stream:
         stream.write(content)
+    if there:  # not every file system moves a file over another
+        system.delete_file(path)
     system.move(temporary, path)
     return None
 

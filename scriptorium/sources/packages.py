@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -15,9 +16,6 @@ from scriptorium.schema import (
     CONTENT_TYPES_NS,
     CONTENT_TYPES_PART,
     DOCUMENT_PART,
-    MAX_ARCHIVE,
-    MAX_ENTRIES,
-    MAX_PART_TEXT,
     parts_schema,
 )
 
@@ -31,93 +29,96 @@ class Packages(NamedTuple):
     rejects: DataFrame
 
 
-def _unzip(content: bytes) -> list[tuple[str, bytes]]:
-    """The non-directory entries of one archive; a ValueError names the broken limit."""
-    if len(content) > MAX_ARCHIVE:
-        raise ValueError("package exceeds 64 MiB archive limit")
+def _unzip(content: bytes, names: frozenset[str] | None, with_bytes: bool) -> Iterator[tuple[int, str, int, bytes | None]]:
+    """Place, name, size and bytes of the files of one archive; a ValueError tells why it is refused.
+
+    Only the files in ``names``, if given, are unzipped, and none without ``with_bytes``.
+    """
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
-        entries = archive.infolist()
-        if len(entries) > MAX_ENTRIES:
-            raise ValueError("too many ZIP entries")
-        if len({entry.filename for entry in entries}) < len(entries):
-            raise ValueError("duplicate ZIP entry")
-        found, left = [], MAX_ARCHIVE
-        for entry in entries:
-            with archive.open(entry) as stream:
-                # The declared size is not trusted: never inflate more than is allowed.
-                data = stream.read(left + 1)
-            left -= len(data)
-            if left < 0:
-                raise ValueError("uncompressed data exceeds 64 MiB limit")
-            if not entry.is_dir():
-                found.append((entry.filename, data))
-    except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError) as error:
-        raise ValueError("invalid ZIP archive") from error
-    if all(name != DOCUMENT_PART for name, _ in found):
-        raise ValueError(f"package has no {DOCUMENT_PART}")
-    return found
-
-
-#: Unzipped bytes sent to the JVM together; one package may exceed it, up to its own limit.
+        entries = [entry for entry in archive.infolist() if not entry.is_dir()]
+        listed = {entry.filename for entry in archive.infolist()}
+        if len(listed) < len(archive.infolist()):
+            raise ValueError("two entries of one name")
+        if DOCUMENT_PART not in listed:
+            raise ValueError(f"no {DOCUMENT_PART} in the package")
+        for place, entry in enumerate(entries):
+            if names is None or entry.filename in names:
+                yield place, entry.filename, entry.file_size, archive.read(entry) if with_bytes else None
+    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError) as error:
+        raise ValueError("not a readable archive") from error
+
+
+#: Unzipped bytes sent to the JVM together; one package may exceed it.
 _BATCH = 16 * 1024 * 1024
 
 
-def _open(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        columns = ["doc_id", "ord", "part", "size", "bytes", "reason"]
-        return pd.DataFrame(rows, columns=columns).astype({"ord": "Int32", "size": "Int32"})
-
-    rows: list[tuple] = []
-    held = 0
-    for batch in batches:
-        for doc_id, content in zip(batch["doc_id"], batch["content"]):
-            try:
-                for at, (name, data) in enumerate(_unzip(content)):
-                    rows.append((doc_id, at, name, len(data), data, None))
-                    held += len(data)
-            except ValueError as error:
-                rows.append((doc_id, None, None, None, None, str(error)))
-            if held >= _BATCH:
-                yield frame(rows)
-                rows, held = [], 0
-    if rows:
-        yield frame(rows)
-
-
-def open_packages(files: DataFrame) -> Packages:
-    """``files(doc_id, content)`` as parts; packages beyond the limits become rejects.
-
-    Narrow: each package is unzipped where it was read.
+def opened(files: DataFrame, names: Sequence[str] | None = None, with_bytes: bool = True) -> DataFrame:
+    """``files(doc_id, content)`` as parts and, with a ``reason``, refused packages, in one table.
+
+    Narrow: each package is unzipped where it was read, and only the parts in ``names`` if given.
+    Without ``with_bytes`` names and declared sizes are listed and nothing is unzipped. Packages
+    of any size are read.
+    """
+    chosen = None if names is None else frozenset(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            columns = ["doc_id", "ord", "part", "size", "bytes", "reason"]
+            return pd.DataFrame(rows, columns=columns).astype({"ord": "Int32", "size": "Int32"})
+
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for doc_id, content in zip(batch["doc_id"], batch["content"]):
+                try:
+                    found = [(doc_id, *entry, None) for entry in _unzip(content, chosen, with_bytes)]
+                except ValueError as error:
+                    found = [(doc_id, None, None, None, None, str(error))]
+                rows += found
+                held += sum(len(row[4] or b"") for row in found)
+                if held >= _BATCH:
+                    yield frame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield frame(rows)
+
+    return files.select("doc_id", "content").mapInPandas(run, parts_schema(files.schema["doc_id"].dataType))
+
+
+def open_packages(files: DataFrame, names: Sequence[str] | None = None, with_bytes: bool = True) -> Packages:
+    """``opened``, parts and refused packages apart.
+
+    Whoever needs both should store what ``opened`` gives once.
     """
-    doc_type = files.schema["doc_id"].dataType
-    opened = files.select("doc_id", "content").mapInPandas(_open, parts_schema(doc_type))
+    both = opened(files, names, with_bytes)
     return Packages(
-        opened.where("reason is null").drop("reason"),
-        opened.where("reason is not null").select("doc_id", "reason"),
+        both.where("reason is null").drop("reason"),
+        both.where("reason is not null").select("doc_id", "reason"),
     )
 
 
-def scan_packages(spark: SparkSession, path: str) -> Packages:
+def package_glob(extensions: Sequence[str] = PACKAGE_EXTENSIONS) -> str:
+    """A file name pattern for extensions in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in extensions) + "}"
+
+
+def scan_packages(spark: SparkSession, path: str, names: Sequence[str] | None = None, with_bytes: bool = True) -> Packages:
     """All packages below ``path``; ``doc_id`` is the file's path.
 
-    Files over the archive limit are refused by their listed length, without reading them,
-    and other document formats (``doc``, ``rtf``) by their name.
+    The listing passes over files with other names, so they are never read. Other document
+    formats (``doc``, ``rtf``) are refused by their name.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    )
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    packages = listing.where(extension.isin(*PACKAGE_EXTENSIONS))
-    small = packages.where(F.col("length") <= MAX_ARCHIVE)
-    opened = open_packages(small.select(F.col("path").alias("doc_id"), "content"))
-    large = packages.where(F.col("length") > MAX_ARCHIVE).select(
-        F.col("path").alias("doc_id"), F.lit("package exceeds 64 MiB archive limit").alias("reason")
-    )
-    other = listing.where(
-        extension.isin(*DOCUMENT_EXTENSIONS) & ~extension.isin(*PACKAGE_EXTENSIONS)
-    ).select(F.col("path").alias("doc_id"), F.lit("not a package").alias("reason"))
-    return Packages(opened.parts, opened.rejects.unionByName(large).unionByName(other))
+
+    def listing(extensions: Sequence[str]) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        return reader.option("pathGlobFilter", package_glob(extensions)).load(path)
+
+    files = listing(PACKAGE_EXTENSIONS).select(F.col("path").alias("doc_id"), "content")
+    found = open_packages(files, names, with_bytes)
+    others = [e for e in DOCUMENT_EXTENSIONS if e not in PACKAGE_EXTENSIONS]
+    other = listing(others).select(F.col("path").alias("doc_id"), F.lit("a document, but not a package").alias("reason"))
+    return Packages(found.parts, found.rejects.unionByName(other))
 
 
 def content_types(parts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -160,34 +161,31 @@ def list_parts(parts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 
 def part_text(parts: DataFrame, name: str) -> DataFrame:
-    """The text of one part of every package, cut at 1 MiB on a character boundary.
+    """The whole text of one part of every package.
 
-    A missing or binary part has a ``reason`` instead of a text.
+    A missing or binary part has a ``reason`` instead of a text. One pass over the parts, added
+    up by document: names alone decide which documents lack it.
     """
     wanted = name.lstrip("/")
     if not wanted:
-        raise ValueError("name must not be empty")
-    held = parts.where(F.col("part") == wanted).select("doc_id", "size", "bytes")
-    is_text = F.is_valid_utf8(F.col("bytes").cast("string")) & ~F.col("bytes").cast(
-        "string"
-    ).contains("\0")
-    marked = F.hex(F.substring("bytes", 1, 3)) == "EFBBBF"
-    body = F.when(marked, F.substring("bytes", F.lit(4), F.octet_length("bytes"))).otherwise(
-        F.col("bytes")
-    )
-    # A cut inside a character leaves at most three bytes too many.
-    cuts = [
-        F.try_validate_utf8(F.substring(F.col("_body"), F.lit(1), F.lit(MAX_PART_TEXT - n)).cast("string"))
-        for n in range(4)
-    ]
-    texts = held.withColumn("_body", body).select(
-        "doc_id",
-        "size",
-        F.when(is_text, F.coalesce(*cuts)).alias("text"),
-        F.when(is_text, F.octet_length("_body") > MAX_PART_TEXT).alias("truncated"),
-        F.when(~is_text, "binary part").alias("reason"),
+        raise ValueError("a part name is needed")
+    here = F.col("part") == wanted
+    raw = F.when(here, F.col("bytes"))
+    body = F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", F.substring(raw, F.lit(4), F.octet_length(raw))).otherwise(raw)
+    is_text = F.is_valid_utf8(body.cast("string")) & ~body.cast("string").contains("\0")
+    return (
+        parts.select(
+            "doc_id",
+            F.when(here, F.col("size")).alias("size"),
+            F.when(is_text, body.cast("string")).alias("text"),
+            F.when(here & ~is_text, "not text").when(here, "").alias("reason"),
+        )
+        .groupBy("doc_id")
+        .agg(F.max("size").alias("size"), F.max("text").alias("text"), F.max("reason").alias("reason"))
+        .select(
+            "doc_id",
+            "size",
+            "text",
+            F.when(F.col("reason") != "", F.col("reason")).when(F.col("reason").isNull(), "no such part").alias("reason"),
+        )
     )
-    missing = (
-        parts.select("doc_id").distinct().join(held.select("doc_id"), "doc_id", "left_anti")
-    ).select("doc_id", F.lit("the package has no such part").alias("reason"))
-    return texts.unionByName(missing, allowMissingColumns=True)

@@ -13,10 +13,10 @@ _MARK = "\x01"
 
 
 def text_paragraphs(table: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One paragraph per line of each text. Narrow: no shuffle."""
+    """One paragraph per line of each text; a null text is one empty line. Narrow: no shuffle."""
     return table.select(
         F.col(doc_id).alias("doc_id"),
-        F.posexplode(F.split(F.col(text), "\n", -1)).alias("idx", "text"),
+        F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("idx", "text"),
     )
 
 
