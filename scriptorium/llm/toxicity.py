@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,25 +104,34 @@ def grams(words: Spelling, order: int) -> list[np.ndarray]:
 
 
 class Table:
-    """Open addressing from 64-bit keys to row numbers, for many keys at a time."""
+    """Open addressing from 64-bit keys to row numbers, for many keys at a time.
+
+    Only the keys travel; a process lays the table out when it first looks something up.
+    """
 
     def __init__(self, keys: np.ndarray):
+        self.rows_of = keys
+        self._laid: tuple[np.ndarray, np.ndarray, int] | None = None
         self.bits = max(4, int(np.ceil(np.log2(max(len(keys), 1) * 2 + 1))))
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.rows = np.full(1 << self.bits, -1, np.int32)
-        left, step = np.arange(len(keys)), 0
-        while len(left):
-            place = self._place(keys[left], step)
-            free = self.rows[place] < 0
-            _, chosen = np.unique(np.where(free, place, -1), return_index=True)
-            chosen = chosen[free[chosen]]
-            self.keys[place[chosen]] = keys[left[chosen]]
-            self.rows[place[chosen]] = left[chosen]
-            lost = np.ones(len(left), bool)
-            lost[chosen] = False
-            # Those that met a free place first taken by another try the same step again.
-            left, step = left[lost], step + 1
-        self.steps = step
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_laid": None}
+
+    def _layout(self) -> tuple[np.ndarray, np.ndarray, int]:
+        if self._laid is None:
+            keys, rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+            left, step = np.arange(len(self.rows_of)), 0
+            while len(left):
+                place = self._place(self.rows_of[left], step)
+                _, chosen = np.unique(np.where(rows[place] < 0, place, -1), return_index=True)
+                chosen = chosen[rows[place[chosen]] < 0]
+                keys[place[chosen]] = self.rows_of[left[chosen]]
+                rows[place[chosen]] = left[chosen]
+                lost = np.ones(len(left), bool)
+                lost[chosen] = False
+                left, step = left[lost], step + 1
+            self._laid = keys, rows, step
+        return self._laid
 
     def _place(self, keys: np.ndarray, step: int) -> np.ndarray:
         spread = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
@@ -129,14 +139,15 @@ class Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row numbers, -1 for keys that are not there."""
+        held, rows, steps = self._layout()
         out = np.full(len(keys), -1, np.int32)
         left = np.arange(len(keys))
-        for step in range(self.steps):
+        for step in range(steps):
             if not len(left):
                 break
             place = self._place(keys[left], step)
-            hit = (self.rows[place] >= 0) & (self.keys[place] == keys[left])
-            out[left[hit]] = self.rows[place[hit]]
+            hit = (rows[place] >= 0) & (held[place] == keys[left])
+            out[left[hit]] = rows[place[hit]]
             # Tables are filled step by step, so a key may lie beyond a free place.
             left = left[~hit]
         return out
@@ -176,20 +187,55 @@ def discounted(found: np.ndarray, sums: np.ndarray, context: np.ndarray) -> tupl
     discount = min(0.95, max(0.5, ones / (ones + 2 * twos) if ones else 0.75))
     contexts, number = np.unique(context, return_inverse=True)
     total = np.bincount(number, sums)
-    kinds = np.bincount(number)
     share = np.maximum(sums - discount, 0) / total[number]
     rest = np.bincount(number, np.minimum(sums, discount)) / total
-    assert len(kinds) == len(total)
     return share, contexts, rest
 
 
+@dataclass
+class Shared:
+    """The model of SHARED-grams that both classes back off to."""
+
+    #: Chances of a symbol after another, by their numbers.
+    bigram: np.ndarray
+    keys: np.ndarray
+    share: np.ndarray
+    contexts: np.ndarray
+    rest: np.ndarray
+
+
+def base_model(counts: dict[int, float]) -> Shared:
+    """The shared model from counts of ``SHARED``-grams: Kneser-Ney down to single symbols."""
+    size = SYMBOLS + 1
+    keys = np.array(sorted(counts), np.int64)
+    sums = np.array([counts[k] for k in keys.tolist()], np.float64)
+    # Digits of a key: last symbol first. 0 stands for none.
+    start = keys // size**2 == 0  # a bigram at a word's start, counted as it is
+    one = np.bincount(keys[~start] % size, minlength=size) + 0.5
+    pair_keys = np.concatenate([keys[~start] % size**2, keys[start]])
+    pair_sums = np.concatenate([np.ones((~start).sum()), sums[start]])
+    pairs, number = np.unique(pair_keys, return_inverse=True)
+    bigram = np.tile(one / one.sum(), (size, 1))
+    if len(pairs):
+        share, contexts, rest = discounted(pairs, np.bincount(number, pair_sums), pairs // size)
+        bigram[contexts] *= rest[:, None]
+        bigram[pairs // size, pairs % size] += share
+    keys, sums = keys[~start], sums[~start]
+    share, contexts, rest = discounted(keys, sums, keys // size) if len(keys) else (sums, keys, sums)
+    return Shared(bigram, keys.astype(np.uint64), share, contexts.astype(np.uint64), rest)
+
+
 class Model:
     """Both classes' models over the shared one; scores distinct words."""
 
-    def __init__(self, shared: np.ndarray, classes: list[list[tuple[np.ndarray, ...]]]):
-        #: Smoothed probability of a symbol after up to SHARED - 1 others, as a dense table.
-        self.base = shared
-        self.tables, self.shares, self.rests = [], [], []
+    def __init__(self, shared: Shared, classes: list[list[tuple[np.ndarray, ...]]]):
+        self.bigram = shared.bigram
+        self.tables = [(Table(shared.keys), Table(shared.contexts))]
+        #: Per order from SHARED on: shares of n-grams and weights of contexts for both classes;
+        #: the last row is for those that are not there.
+        self.shares = [np.append(shared.share, 0).astype(np.float32)[:, None]]
+        self.rests = [np.append(shared.rest, 1).astype(np.float32)[:, None]]
+        self._shipped: Broadcast | None = None
         for k in range(SHARED + 1, ORDER + 1):
             per_class = [discounted(*c[k - 1]) for c in classes]
             keys = np.unique(np.concatenate([classes[0][k - 1][0], classes[1][k - 1][0]]))
@@ -203,60 +249,33 @@ class Model:
             self.shares.append(share.astype(np.float32))
             self.rests.append(rest.astype(np.float32))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_shipped": None}
+
+    def shipped(self, spark: SparkSession) -> Broadcast:
+        """The model as a broadcast, made once. Its size is bounded by the sample's."""
+        if self._shipped is None:
+            self._shipped = spark.sparkContext.broadcast(self)
+        return self._shipped
+
     def evidence(self, words: Spelling) -> np.ndarray:
         """Log-likelihood of each word as toxic less that as ordinary."""
         if not len(words.begins):
             return np.zeros(0)
         keys = grams(words, ORDER)
-        fits = [words.depth >= k for k in range(1, ORDER + 1)]
-        trigram = np.where(words.depth >= SHARED, keys[SHARED - 1], keys[1])
-        p = np.repeat(self.base[trigram.astype(np.int64)][:, None], 2, axis=1).astype(np.float64)
-        for k in range(SHARED + 1, ORDER + 1):
-            at = np.flatnonzero(fits[k - 1])
-            table, contexts = self.tables[k - SHARED - 1]
-            share = self.shares[k - SHARED - 1][table.find(keys[k - 1][at])]
-            rest = self.rests[k - SHARED - 1][contexts.find(keys[k - 2][at - 1])]
+        before = np.concatenate([[0], words.symbols[:-1]])
+        p = np.repeat(self.bigram[before + 1, words.symbols + 1][:, None], 2, axis=1)
+        for k in range(SHARED, ORDER + 1):
+            at = np.flatnonzero(words.depth >= k)
+            table, contexts = self.tables[k - SHARED]
+            share = self.shares[k - SHARED][table.find(keys[k - 1][at])]
+            rest = self.rests[k - SHARED][contexts.find(keys[k - 2][at - 1])]
             p[at] = share + rest * p[at]
         ratio = np.log(p[:, 1]) - np.log(p[:, 0])
         ratio[words.depth == 1] = 0
         return np.add.reduceat(ratio, words.begins)
 
 
-def base_model(counts: dict[int, float]) -> np.ndarray:
-    """The shared model from counts of ``SHARED``-grams: Kneser-Ney down to equal chances.
-
-    The table is indexed by the exact key of the last symbols, of SHARED or, after a word's
-    first symbol, of SHARED - 1.
-    """
-    size = SYMBOLS + 1
-    keys = np.array(sorted(counts), np.int64)
-    sums = np.array([counts[k] for k in keys.tolist()])
-    out = np.full(size**SHARED, 1.0 / SYMBOLS, np.float32)
-    if not len(keys):
-        return out
-    # Digits of a key: last symbol first. 0 stands for none.
-    last, second, third = keys % size, keys // size % size, keys // size**2
-    start = third == 0  # a bigram at a word's start, counted as it is
-    one = np.bincount(last[~start], minlength=size) + 0.5
-    unigram = one / one.sum()
-    pair_keys = np.concatenate([keys[~start] % size**2, keys[start]])
-    pair_sums = np.concatenate([np.ones((~start).sum()), sums[start]])
-    pairs, number = np.unique(pair_keys, return_inverse=True)
-    share, contexts, rest = discounted(pairs, np.bincount(number, pair_sums), (pairs // size).astype(np.uint64))
-    bigram = np.tile(unigram, (size, 1))
-    bigram[contexts.astype(np.int64)] *= rest[:, None]
-    bigram[pairs // size, pairs % size] += share
-    out[: size**2] = bigram.reshape(-1)
-    triple = ~start
-    share, contexts, rest = discounted(keys[triple], sums[triple], (keys[triple] // size).astype(np.uint64))
-    full = np.tile(bigram, (size, 1, 1))  # third, second, last
-    flat = full.reshape(size * size, size)
-    flat[contexts.astype(np.int64)] *= rest[:, None]
-    flat[keys[triple] // size, last[triple]] += share
-    full[0] = bigram
-    return full.reshape(-1).astype(np.float32)
-
-
 def shared_counts(docs: DataFrame) -> dict[int, float]:
     """Occurrences of SHARED-grams, and of word-starting bigrams, in all texts.
 
@@ -286,8 +305,7 @@ def evidence(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     names = ("evidence", "telling", "words")
     kinds = (T.DoubleType(), T.DoubleType(), T.LongType())
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, k) for n, k in zip(names, kinds)]])
-    # The model's size is bounded by the sample's.
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = model.shipped(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", SCORE_BYTES):

@@ -23,8 +23,10 @@ def test_probabilities_of_next_symbols_add_up_to_one():
     for k, fits in ((toxicity.SHARED, words.depth >= toxicity.SHARED), (2, words.depth == 2)):
         for key, n in zip(keys[k - 1][fits].tolist(), weight[fits].tolist()):
             shared[key] = shared.get(key, 0) + n
-    base = toxicity.base_model(shared).reshape((toxicity.SYMBOLS + 1,) * 3)
-    np.testing.assert_allclose(base.sum(axis=2), 1, atol=1e-4)
+    base = toxicity.base_model(shared)
+    np.testing.assert_allclose(base.bigram.sum(axis=1), 1, atol=1e-9)
+    held = np.bincount(np.searchsorted(base.contexts, base.keys // np.uint64(toxicity.SYMBOLS + 1)), base.share)
+    np.testing.assert_allclose(held + base.rest, 1, atol=1e-9)
     for k, (found, sums, context) in enumerate(toxicity.adjusted(keys, words, counts, toxicity.ORDER), 1):
         share, contexts, rest = toxicity.discounted(found, sums, context)
         if k > 1:
