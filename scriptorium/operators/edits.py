@@ -1,14 +1,15 @@
 """Bulk edits as table transforms.
 
 Every function takes paragraphs (and runs) and returns an ``Edited``: the new paragraphs,
-what was refused, and what was done. A document with a refused edit keeps its old content,
-and a batch carries at most one edit per document and action, as one request does;
-further ones are refused. ``guards(doc_id, idx, reason)`` lists paragraphs that must not
+what was refused, and what was done. A document with a refused edit keeps its old content.
+A call carries at most one edit per document, and further ones are refused; ``in_order``
+applies any number one after the other. ``guards(doc_id, idx, reason)`` lists paragraphs that must not
 be edited.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +17,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
+from scriptorium.lineage import cut
 from scriptorium.operators.carry import attach
 from scriptorium.operators.positions import positions, ranges_text
 from scriptorium.schema import check, check_positions, check_size
 
 # The alignments a request may name.
 ALIGNMENTS = ("left", "center", "right", "both")
-_OUT_OF_BOUNDS = "paragraph index is out of bounds"
-_INVALID = "text contains an invalid XML control character"
+_OUT_OF_BOUNDS = "no paragraph has this index"
+_INVALID = "a character that XML cannot hold"
 _TWICE = "one edit per document and batch"
 
 
@@ -65,13 +67,49 @@ def _guarded(edits: DataFrame, guards: DataFrame | None, index: str) -> DataFram
 
 
 def _rejects(decided: DataFrame) -> DataFrame:
-    return decided.where("reason is not null").select("doc_id", "reason").distinct()
+    """What was refused; ``_single`` left one row per document."""
+    return decided.where("reason is not null").select("doc_id", "reason")
 
 
 def _accepted(decided: DataFrame) -> DataFrame:
-    """Edits of documents none of whose edits is refused."""
-    bad = decided.where("reason is not null").select("doc_id").distinct()
-    return decided.where("reason is null").join(bad, "doc_id", "left_anti")
+    return decided.where("reason is null")
+
+
+def in_order(
+    paragraphs: DataFrame,
+    edits: DataFrame,
+    step: Callable[[DataFrame, DataFrame], Edited],
+    order: str = "seq",
+) -> Edited:
+    """Any number of edits per document, each on what the one before left.
+
+    ``edits`` has ``order`` besides the columns of ``step``, a function of this module that takes
+    paragraphs and edits. The first edits of all documents are one round, then the second ones,
+    and so on; a round touches all documents at once and is stored. A document of which an edit
+    is refused keeps its old content. Of edits with the same ``order`` one is refused for all.
+    """
+    turn = F.row_number().over(W.partitionBy("doc_id").orderBy(order))
+    again = F.count(F.lit(1)).over(W.partitionBy("doc_id", order)) > 1
+    ranked = cut(edits.withColumn("_turn", turn).withColumn("_same", again))
+    same = ranked.where("_same").select("doc_id").distinct()
+    rejects = same.select("doc_id", F.lit("two edits with one place in the order").alias("reason"))
+    ranked = ranked.join(same, "doc_id", "left_anti")
+    turns = ranked.agg(F.max("_turn")).first()[0] or 0
+    current, audits = paragraphs, []
+    for number in range(1, turns + 1):
+        now = ranked.where(F.col("_turn") == number).drop("_turn", "_same", order)
+        done = step(current, now)
+        rejects = rejects.unionByName(done.rejects)
+        audits.append(done.audit.withColumn(order, F.lit(number)))
+        current = cut(done.paragraphs)
+    rejects = cut(rejects.dropDuplicates(["doc_id"]))
+    kept = current.join(rejects, "doc_id", "left_anti")
+    restored = paragraphs.join(rejects.select("doc_id"), "doc_id", "left_semi")
+    audit = None
+    for part in audits:
+        audit = part if audit is None else audit.unionByName(part)
+    audit = rejects.limit(0) if audit is None else audit.join(rejects, "doc_id", "left_anti")
+    return Edited(kept.unionByName(restored, allowMissingColumns=True), rejects, audit)
 
 
 def replace(
@@ -302,7 +340,7 @@ def delete_paragraphs(
     outside = (F.col("idx") >= F.col("size")) | (F.col("idx") < 0)
     reason = F.when(F.col("_twice"), _TWICE).when(outside, _OUT_OF_BOUNDS)
     if guards is None:
-        reason = reason.when(F.col("size") == 1, "cannot delete the only paragraph")
+        reason = reason.when(F.col("size") == 1, "a document keeps at least one paragraph")
     decided = _guarded(single, guards, "idx").withColumn(
         "reason", reason.otherwise(F.col("_guard"))
     )

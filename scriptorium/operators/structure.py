@@ -310,9 +310,9 @@ def guards(nodes: DataFrame, anchors: bool = True) -> DataFrame:
         "doc_id",
         F.col("para").alias("idx"),
         F.lit(0).alias("_rank"),
-        F.lit("paragraph belongs to an unsupported revision or content control").alias("reason"),
+        F.lit("inside a revision or a content control").alias("reason"),
     )
-    contained = F.concat(F.lit("paragraph contains unsupported editing construct: "), "name")
+    contained = F.concat(F.lit("holds something an edit would break: "), "name")
     within = body.where(
         F.col("para").isNotNull() & N.is_word(*[n for n in UNEDITABLE if n != "p"])
     ).select("doc_id", F.col("para").alias("idx"), (F.col("node_id") + 1).alias("_rank"), contained.alias("reason"))
@@ -334,7 +334,7 @@ def guards(nodes: DataFrame, anchors: bool = True) -> DataFrame:
             "doc_id",
             F.col("para").alias("idx"),
             F.lit(2**31 - 1).alias("_rank"),
-            F.lit("paragraph contains anchored ranges").alias("reason"),
+            F.lit("ranges begin or end here").alias("reason"),
         )
         found = found.unionByName(anchored)
     return found.groupBy("doc_id", "idx").agg(F.min_by("reason", "_rank").alias("reason"))
@@ -345,7 +345,7 @@ def deletion_guards(nodes: DataFrame) -> DataFrame:
     body = nodes.where(F.col("part") == DOCUMENT_PART)
     sections = body.where(
         N.is_word("sectPr") & F.col("para").isNotNull() & N.under_first("p", "pPr")
-    ).select("doc_id", F.col("para").alias("idx"), F.lit("paragraph holds a section break").alias("reason"))
+    ).select("doc_id", F.col("para").alias("idx"), F.lit("a section ends here").alias("reason"))
     # Per container: its paragraphs, and the last two children that are not properties.
     child = F.struct("node_id", N.is_word("p").alias("is_p"))
     containers = (
@@ -377,7 +377,7 @@ def deletion_guards(nodes: DataFrame) -> DataFrame:
     ).otherwise(last["is_p"])
     reason = F.when(
         F.col("_paragraphs") == 1,
-        F.concat(F.lit("cannot delete the only paragraph in its "), "_in", F.lit(" element")),
+        F.concat(F.lit("the last paragraph of its "), "_in"),
     ).when(
         F.col("_cell") & ~F.coalesce(following, F.lit(False)),
         F.lit("a table cell must end with a paragraph"),

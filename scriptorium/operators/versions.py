@@ -61,7 +61,7 @@ def conflicts(edits: DataFrame, versioned: DataFrame) -> DataFrame:
     return (
         edits.join(current, "doc_id", "left")
         .where(~F.col("base_version").eqNullSafe(F.col("current_version")))
-        .withColumn("reason", F.lit("document changed during operation"))
+        .withColumn("reason", F.lit("another version came in between"))
     )
 
 

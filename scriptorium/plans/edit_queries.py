@@ -26,7 +26,11 @@ def replace_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only in paragraph 2; documents without one are refused."""
+    """Only in paragraph 2; documents without one stay as they are."""
+    return E.replace(lines(spark, sf_dir), "e", "E", all=True, paragraph=2).paragraphs
+
+
+def replace_paragraph_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.replace(lines(spark, sf_dir), "e", "E", all=True, paragraph=2).rejects
 
 
@@ -72,6 +76,14 @@ def delete_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.delete_paragraphs(lines(spark, sf_dir), edits).paragraphs
 
 
+def edits_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines 0 and then 1 of what is left go from every document; the third edit fails where too
+    few lines are left, and such a document stays as it was."""
+    places = F.explode(F.array(*[F.struct(F.lit(n).alias("seq"), F.lit(i).alias("idx")) for n, i in ((1, 0), (2, 1), (3, 2))]))
+    edits = _documents(spark, sf_dir).select("doc_id", places.alias("_e")).select("doc_id", "_e.*")
+    return E.in_order(lines(spark, sf_dir), edits, E.delete_paragraphs).paragraphs
+
+
 def deleted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = _documents(spark, sf_dir).select("doc_id", F.lit(1).alias("idx"))
     return E.delete_paragraphs(lines(spark, sf_dir), edits, _guards(spark, sf_dir)).audit
@@ -173,10 +185,12 @@ QUERIES = {
     "replace_all": replace_all,
     "replace_first": replace_first,
     "replace_paragraph": replace_paragraph,
+    "replace_paragraph_refused": replace_paragraph_refused,
     "replace_guarded": replace_guarded,
     "replace_each": replace_each,
     "insert_paragraphs": insert_paragraphs,
     "delete_paragraphs": delete_paragraphs,
+    "edits_in_order": edits_in_order,
     "deleted_texts": deleted_texts,
     "insert_text": insert_text,
     "delete_range": delete_range,
@@ -209,8 +223,10 @@ SELECT l.doc_id, idx, CASE WHEN idx = f
   THEN left(text, strpos(text, 'the') - 1) || 'A & B' || substring(text, strpos(text, 'the') + 3)
   ELSE text END AS text
 FROM lines l LEFT JOIN firsts USING (doc_id)""",
-    "replace_paragraph": f"""WITH {LINES_SQL}, {_SIZES}
-SELECT doc_id, 'paragraph index is out of bounds' AS reason FROM sizes WHERE n <= 2""",
+    "replace_paragraph": f"""WITH {LINES_SQL}
+SELECT doc_id, idx, CASE WHEN idx = 2 THEN replace(text, 'e', 'E') ELSE text END AS text FROM lines""",
+    "replace_paragraph_refused": f"""WITH {LINES_SQL}, {_SIZES}
+SELECT doc_id, 'no paragraph has this index' AS reason FROM sizes WHERE n <= 2""",
     "replace_guarded": f"""WITH {LINES_SQL},
 bad AS (SELECT DISTINCT doc_id FROM lines WHERE text LIKE 'T%' AND contains(text, 'the'))
 SELECT doc_id, idx, CASE WHEN doc_id IN (SELECT doc_id FROM bad) THEN text
@@ -236,6 +252,10 @@ kept AS (SELECT l.doc_id, idx, text, n, l.doc_id % 4 AS p,
     l.doc_id % 4 < n AND n > 1 AS ok FROM lines l JOIN sizes USING (doc_id))
 SELECT doc_id, CAST(CASE WHEN ok AND idx > p THEN idx - 1 ELSE idx END AS INTEGER) AS idx, text
 FROM kept WHERE NOT (ok AND idx = p)""",
+    # Of n lines the edits need more than 0, 1 and 2 of n, n - 1 and n - 2.
+    "edits_in_order": f"""WITH {LINES_SQL}, {_SIZES}
+SELECT doc_id, CAST(CASE WHEN n < 5 THEN idx WHEN idx = 1 THEN 0 WHEN idx = 3 THEN 1 ELSE idx - 3 END AS INTEGER) AS idx, text
+FROM lines JOIN sizes USING (doc_id) WHERE n < 5 OR idx NOT IN (0, 2, 4)""",
     "deleted_texts": f"""WITH {LINES_SQL}
 SELECT doc_id, idx, text AS deleted_text FROM lines WHERE idx = 1 AND text NOT LIKE 'T%'""",
     "insert_text": f"""WITH {LINES_SQL}, {_STORIES},
@@ -280,5 +300,5 @@ SELECT t.doc_id, idx, text, CAST(CASE WHEN t.doc_id % 3 = 0 AND n > 3 THEN 1 ELS
 FROM trimmed t JOIN sizes s ON t.doc_id = s.doc_id""",
     "conflicts": f"""WITH {LINES_SQL}, {_SIZES}
 SELECT doc_id, CAST(0 AS INTEGER) AS base_version, CAST(1 AS INTEGER) AS current_version,
-  'document changed during operation' AS reason FROM sizes WHERE doc_id % 3 = 0 AND n > 3""",
+  'another version came in between' AS reason FROM sizes WHERE doc_id % 3 = 0 AND n > 3""",
 }

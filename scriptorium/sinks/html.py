@@ -37,7 +37,7 @@ def html_preview(paragraphs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def write_previews(paragraphs: DataFrame, directory: str, overwrite: bool = False) -> None:
     """Write previews as text, one folder per document and piece."""
-    check(not directory.lower().endswith((".docx", ".docm")), "preview cannot overwrite source document")
+    check(not directory.lower().endswith((".docx", ".docm")), "a preview needs a folder, not a package")
     mode = "overwrite" if overwrite else "errorifexists"
     previews = html_preview(paragraphs).select(F.col("html").alias("value"), "doc_id", "piece")
     previews.write.mode(mode).partitionBy("doc_id", "piece").text(directory)

@@ -83,7 +83,7 @@ def test_replace_is_refused_where_it_could_corrupt(spark):
     assert set(reasons(done)) == {"0", "1", "2", "4"}
     got = texts(done)
     assert got["0"] == ["text"] and got["3"] == ["changed"] and got["5"] == ["fine changed", "\n"]
-    assert reasons(E.replace(listing, "x", "y", paragraph=1))["3"] == "paragraph index is out of bounds"
+    assert reasons(E.replace(listing, "x", "y", paragraph=1))["3"] == "no paragraph has this index"
     with pytest.raises(ValueError):
         E.replace(listing, "", "x")
     with pytest.raises(ValueError):
@@ -202,3 +202,21 @@ def test_format_range(spark):
     assert {(m.lo, m.hi): (m.bold, m.size_pt) for m in mixed.collect()} == {
         (6, 15): (True, 15.5), (6, 20): (True, None), (0, 0): (None, None),
     }
+
+
+def test_edits_in_order(spark):
+    base = spark.createDataFrame(
+        [(d, i, f"{d}{i}") for d in "abc" for i in range(4 if d != "c" else 1)], "doc_id string, idx int, text string"
+    )
+    edits = spark.createDataFrame(
+        [("a", 7, 0), ("a", 3, 2), ("a", 9, 1), ("b", 1, 0), ("b", 2, 9), ("c", 1, 0)], "doc_id string, seq int, idx int"
+    )
+    done = E.in_order(base, edits, E.delete_paragraphs)
+    got = sorted((r.doc_id, r.idx, r.text) for r in done.paragraphs.collect())
+    # a: a2 goes, then a0, then a3. b and c: an edit is refused, so nothing changes.
+    assert got == [("a", 0, "a1"), *[("b", i, f"b{i}") for i in range(4)], ("c", 0, "c0")]
+    assert {r.doc_id for r in done.rejects.collect()} == {"b", "c"}
+    assert [(r.seq, r.deleted_text) for r in done.audit.orderBy("seq").collect()] == [(1, "a2"), (2, "a0"), (3, "a3")]
+    twice = E.in_order(base, spark.createDataFrame([("a", 1, 0), ("a", 1, 1)], "doc_id string, seq int, idx int"), E.delete_paragraphs)
+    assert twice.paragraphs.count() == base.count() and twice.rejects.count() == 1
+    assert E.in_order(base, edits.limit(0), E.delete_paragraphs).paragraphs.count() == base.count()
