@@ -1,4 +1,7 @@
-"""Headline queries at BENCH_SF_DIR on local[BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at BENCH_SF_DIR on local[BENCH_CPUS]; prints one JSON line.
+
+    python bench.py [--all | query ...]
+"""
 
 from __future__ import annotations
 
@@ -36,6 +39,11 @@ HEADLINES = (
     "docx_roundtrip",
     "docx_outline",
     "docx_markdown",
+    "find_wildcards",
+    "edits_in_order",
+    "docx_find",
+    "docx_formatting",
+    "stream_changes",
 )
 
 
@@ -45,7 +53,8 @@ def main() -> None:
     # Start the JVM's and the Python workers' machinery before the clock runs.
     spark.range(1000).repartition(8).mapInPandas(lambda batches: batches, "id long").count()
     seconds = {}
-    for name in sys.argv[1:] or HEADLINES:
+    names = list(QUERIES) if sys.argv[1:] == ["--all"] else sys.argv[1:] or HEADLINES
+    for name in names:
         begun = time.perf_counter()
         QUERIES[name](spark, directory).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begun, 3)
