@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +25,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: The scope that new folders are made in, if any.
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def new_folder(spark: SparkSession) -> str:
-    """A fresh name below the shared folder."""
-    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
+    """A fresh name below the shared folder, and below the current scope's folder if there is one."""
+    return f"{_SCOPE.get() or shared_folder(spark)}/work-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """Gathers what is stored meanwhile below one folder, which ``removed`` can take away."""
+    token = _SCOPE.set(f"{shared_folder(spark)}/scope-{uuid.uuid4().hex}")
+    try:
+        yield _SCOPE.get()
+    finally:
+        _SCOPE.reset(token)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a scope's folder. Frames that read from it cannot be evaluated any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut(frame: DataFrame) -> DataFrame:
