@@ -6,7 +6,7 @@ partial aggregation and by joins that Spark may split.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,6 +17,45 @@ from scriptorium.llm.membership import present
 
 #: Rounds in which the members of open buckets are compared with one of them.
 STAR_ROUNDS = 2
+#: Members of a bucket that are compared with each other in one task.
+TILE = 256
+
+
+#: Rows of a few integers that are sent to all tasks rather than shuffled.
+BROADCAST_ROWS = 1 << 19
+
+
+def sent(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, of which few rows go to all tasks and many are shuffled."""
+    return rows.join(F.broadcast(keyed) if keyed.count() <= BROADCAST_ROWS else keyed, key)
+
+
+def sides(pairs: DataFrame, values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pairs ``(a, b)`` with columns ``names`` of ``values(id, ...)`` for both, as ``x_a`` and ``x_b``.
+
+    Only the values that pairs need are shuffled, by pair.
+    """
+    keyed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b"))
+    one = lambda n, side: F.max(F.when(F.col("id") == F.col(side), F.col(n))).alias(f"{n}_{side}")
+    return sent(values.select("id", *names), keyed, "id").groupBy("a", "b").agg(*[one(n, s) for n in names for s in "ab"])
+
+
+def tiles(members: DataFrame, heavy: float, weights: DataFrame) -> DataFrame:
+    """``(id, root, bucket, one, two)``: buckets cut into tiles, every two of which meet.
+
+    A tile holds about ``TILE`` members and about ``heavy`` of what ``weights(id, n)`` sums up.
+    """
+    held = stored(members.join(weights, "id"))
+    share = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / F.lit(heavy))).cast("int")
+    counts = stored(held.groupBy("bucket").agg(share.alias("tiles")))
+    own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    placed = held.join(counts, "bucket").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    return stored(
+        placed.select("id", "root", "bucket", "own", other.alias("other")).select(
+            "id", "root", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
+        )
+    )
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -121,13 +160,8 @@ def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Comparison]) -> Da
             pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
             tested = pairs if tested is None else tested.unionByName(pairs)
             more = comparison.verify(pairs).select("a", "b")
-        elif comparison.across is not None:
-            more = comparison.across(_distinct_buckets(placed, open_))
         else:
-            rest = stored(_distinct_buckets(placed, open_))
-            left, right = rest.toDF("bucket", "a", "root_a"), rest.toDF("bucket", "b", "root_b")
-            pairs = left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
-            more = comparison.verify(stored(pairs.join(tested, ["a", "b"], "left_anti"))).select("a", "b")
+            more = comparison.across(_distinct_buckets(placed, open_))
         if roots is not None:
             more = more.unionByName(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
         roots = components(more)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.lineage import stored
-from scriptorium.llm.graph import Comparison, linked
+from scriptorium.llm.graph import Comparison, linked, sent, sides, tiles
 from scriptorium.llm.membership import Membership, present
 from scriptorium.llm.rows import ROW, numbered
 from scriptorium.llm.tables import documents
@@ -44,12 +44,10 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
-#: Members, and elements of their multisets, that a tile of a bucket holds.
-TILE, TILE_ELEMENTS = 256, 1 << 21
+#: Elements of multisets that a tile of a bucket holds.
+TILE_ELEMENTS = 1 << 21
 #: Columns of a tile's matrix at a time.
 COLUMNS = 1 << 14
-#: Rows of a few integers that are sent to all tasks rather than shuffled.
-BROADCAST_ROWS = 1 << 19
 _TOP = np.float64(2.0**-53)
 
 
@@ -215,11 +213,6 @@ def compared(rows: DataFrame, ids: DataFrame, threshold: float) -> Comparison:
     bag = stored(bag.join(ids, "id", "left_semi"))
     sizes = bag.select("id", "n")
 
-    def sent(keyed: DataFrame) -> DataFrame:
-        """``keyed`` rows with the multisets of their ids; few enough rows go to all tasks."""
-        few = keyed.count() <= BROADCAST_ROWS
-        return bag.select("id", "bag").join(F.broadcast(keyed) if few else keyed, "id")
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -233,11 +226,7 @@ def compared(rows: DataFrame, ids: DataFrame, threshold: float) -> Comparison:
         near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold)
         sized = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(near)
         close = stored(sized.select("a", "b"))
-        sides = stored(close.select(F.explode(F.array("a", "b")).alias("id"), "a", "b"))
-        both = sent(sides).groupBy("a", "b").agg(
-            F.max(F.when(F.col("id") == F.col("a"), F.col("bag"))).alias("bag_a"),
-            F.max(F.when(F.col("id") == F.col("b"), F.col("bag"))).alias("bag_b"),
-        )
+        both = sides(close, bag, ["bag"])
         return both.mapInArrow(check, "a long, b long")
 
     def tile(group: pa.Table) -> pa.Table:
@@ -251,16 +240,8 @@ def compared(rows: DataFrame, ids: DataFrame, threshold: float) -> Comparison:
 
     def across(members: DataFrame) -> DataFrame:
         """Buckets in tiles: every two tiles of a bucket meet in a task, and no pair leaves it unless it links."""
-        held = stored(members.join(sizes, "id"))
-        weight = held.groupBy("bucket").agg(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_ELEMENTS).alias("w"))
-        tiles = F.ceil("w").cast("int")
-        own = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-        placed = held.join(stored(weight.select("bucket", tiles.alias("tiles"))), "bucket").withColumn("own", own)
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        met = placed.select("id", "root", "bucket", "own", other.alias("other")).select(
-            "id", "root", "bucket", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two")
-        )
-        return sent(stored(met)).groupBy("bucket", "one", "two").applyInArrow(tile, "a long, b long")
+        met = tiles(members, TILE_ELEMENTS, sizes)
+        return sent(bag.select("id", "bag"), met, "id").groupBy("bucket", "one", "two").applyInArrow(tile, "a long, b long")
 
     return Comparison(verify, across)
 

@@ -35,13 +35,18 @@ def test_no_links(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def paired(rest):
+    left, right = rest.toDF("bucket", "a", "root_a"), rest.toDF("bucket", "b", "root_b")
+    return left.join(right, "bucket").where("a < b and root_a <> root_b").select("a", "b").distinct()
+
+
 def test_linked_loses_no_link(spark):
     draw = random.Random(9)
     members = [(bucket, i) for bucket in range(6) for i in sorted(draw.sample(range(40), 12))] + [(99, 77)]
     true = {(a, b) for a in range(40) for b in range(a + 1, 40) if draw.random() < 0.08}
     truth = spark.createDataFrame(sorted(true), "a long, b long")
     meeting = {(a, b) for k in range(6) for j, a in members if j == k for i, b in members if i == k and a < b}
-    got = graph.linked(spark.createDataFrame(members, "bucket long, id long"), lambda ids: graph.Comparison(lambda pairs: pairs.join(truth, ["a", "b"])))
+    got = graph.linked(spark.createDataFrame(members, "bucket long, id long"), lambda ids: graph.Comparison(lambda pairs: pairs.join(truth, ["a", "b"]), lambda rest: paired(rest).join(truth, ["a", "b"])))
     got = {r.id: r.root for r in got.collect()}
     want = {k: v for k, v in roots_of(true & meeting).items()}
     assert {k: v for k, v in got.items() if k != v} == {k: v for k, v in want.items() if k != v}
