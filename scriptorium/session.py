@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +40,10 @@ def local_session(cores: int | str | None = None, partitions: int | None = None)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def ship(session: SparkSession) -> None:
+    """Send this package to the executors, where it is not installed."""
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+    session.sparkContext.addPyFile(archive)

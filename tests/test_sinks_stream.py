@@ -118,3 +118,18 @@ def test_change_feed(spark, tmp_path):
     arrive(("a", "0", 3), ("b", "x", 1))
     third = [(2, "a", 3, "deleted", None), (2, "a", 3, "deleted", None)]
     assert seen() == second + third
+
+
+def test_shipped_package_is_whole(spark):
+    import zipfile
+
+    from scriptorium.session import ship
+
+    before = set(spark.sparkContext._python_includes)
+    ship(spark)
+    added = set(spark.sparkContext._python_includes) - before
+    assert added == {"scriptorium.zip"}
+    from pyspark import SparkFiles
+
+    names = zipfile.ZipFile(SparkFiles.get("scriptorium.zip")).namelist()
+    assert "scriptorium/sources/xml_nodes.py" in names
