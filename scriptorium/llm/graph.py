@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from scriptorium.lineage import stored
 from scriptorium.llm.membership import present
 
-#: Rounds in which the members of open buckets are compared with one of them.
-STAR_ROUNDS = 2
 #: Members of a bucket that are compared with each other in one task.
 TILE = 256
 
@@ -96,21 +94,6 @@ def _are_stars(links: DataFrame) -> bool:
     return roles.where("above + below > 1").isEmpty()
 
 
-def _distinct_buckets(placed: DataFrame, open_: DataFrame) -> DataFrame:
-    """Members of the open buckets, one bucket for each set of members.
-
-    Two members alone have been compared in the first round.
-    """
-    sets = (
-        placed.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set"))
-        .where("n > 2")
-        .join(open_.select("bucket"), "bucket", "left_semi")
-    )
-    chosen = stored(sets.groupBy("n", "set").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    return placed.join(chosen, "bucket").select("bucket", "id", "root")
-
-
 @dataclass(frozen=True)
 class Comparison:
     """How candidates are compared.
@@ -127,44 +110,37 @@ class Comparison:
 def linked(buckets: DataFrame, prepare: Callable[[DataFrame], Comparison]) -> DataFrame:
     """``(id, root)`` of ids that verified pairs connect, for distinct ``(bucket, id)`` pairs.
 
-    In each round one member of every bucket is compared with those of the others that are not
-    connected to it yet: first the one that meets most others over all buckets, which is mostly
-    what the rest was copied from, then one by chance. That joins nearly all of what belongs
-    together by a comparison each. Last, in buckets where several groups remain, all pairs that
-    lie in different groups and were not compared are, so that no link between groups is lost.
+    First one member of every bucket is compared with the others: the one that meets most others
+    over all buckets, which is mostly what the rest was copied from. That joins nearly all of
+    what belongs together by a comparison each. Then, in buckets where several groups remain,
+    all pairs that lie in different groups are compared, so that no link between groups is lost.
 
     ``prepare`` gets the ids that share a bucket with another.
     """
     sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     meeting = stored(present(buckets, "bucket", sizes.select("bucket")).join(sizes, "bucket"))
-    degree = meeting.groupBy("id").agg(F.sum("n").alias("degree"))
+    degree = stored(meeting.groupBy("id").agg(F.sum("n").alias("degree")))
     comparison = prepare(degree.select("id"))
-    members = stored(meeting.select("bucket", "id").join(stored(degree), "id"))
-    tested = roots = None
-    for turn in range(STAR_ROUNDS + 1):
-        placed = members if roots is None else members.join(roots, "id", "left")
-        root = F.col("id") if roots is None else F.coalesce("root", "id")
-        placed = stored(placed.select("bucket", "id", "degree", root.alias("root")))
-        first = F.col("degree") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        open_ = stored(
-            placed.groupBy("bucket")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct(first.alias("first"), "id", "root")).alias("lead"))
-            .where("low <> high")
-            .select("bucket", F.col("lead.id").alias("lead"), F.col("lead.root").alias("lead_root"))
-        )
-        if open_.isEmpty():
-            break
-        if turn < STAR_ROUNDS:
-            rest = placed.join(open_, "bucket").where("root <> lead_root")
-            pairs = rest.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-            pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            more = comparison.verify(pairs).select("a", "b")
-        else:
-            more = comparison.across(_distinct_buckets(placed, open_))
-        if roots is not None:
-            more = more.unionByName(roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b")))
-        roots = components(more)
-    if roots is None:
-        return buckets.select("id", F.col("id").alias("root")).limit(0)
-    return roots
+    members = stored(meeting.select("bucket", "id").join(degree, "id"))
+    lead = stored(
+        members.groupBy("bucket").agg(F.max(F.struct("degree", "id")).alias("lead")).select("bucket", F.col("lead.id").alias("lead"))
+    )
+    first = members.join(lead, "bucket").where("id <> lead")
+    pairs = stored(first.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
+    roots = components(comparison.verify(pairs).select("a", "b"))
+    placed = stored(members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
+    # One bucket for each set of members; two members alone have been compared.
+    open_ = placed.groupBy("bucket").agg(
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("set"),
+    )
+    chosen = stored(
+        open_.where("low <> high and n > 2").groupBy("n", "set").agg(F.min("bucket").alias("bucket")).select("bucket")
+    )
+    if chosen.isEmpty():
+        return roots
+    more = comparison.across(placed.join(chosen, "bucket").select("bucket", "id", "root"))
+    known = roots.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+    return components(more.unionByName(known))
