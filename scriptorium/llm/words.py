@@ -16,8 +16,8 @@ import pyarrow as pa
 #: Bytes of text handled together; the arrays of a block take about 30 times as much.
 BLOCK_BYTES = 4 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[ord("0") : ord("9") + 1] = True
 _IS_WORD[ord("A") : ord("Z") + 1] = True
@@ -96,7 +96,7 @@ def split(texts: pa.Array) -> Words:
     if len(starts):
         at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(at, lengths)
-        values = (_LOWER[data[inside]].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within]
+        values = (LOWER[data[inside]].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within]
         hashes = mix(np.add.reduceat(values, at) ^ mix(lengths.astype(np.uint64), 1))
     return Words(hashes, starts, stops, np.searchsorted(starts, offsets), data)
 
