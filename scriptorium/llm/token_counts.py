@@ -31,6 +31,8 @@ GROUP = ("source", "lang", "tokenizer_version")
 TOTALS = ("docs", "tokens")
 DELTA_SCHEMA = "source string, lang string, tokenizer_version string, docs long, tokens long"
 INSERT, DELETE, REVISE = "insert", "delete", "revise"
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def count_tokens(
@@ -113,14 +115,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Batch 1 inserts every document. Batch 2 revises those whose text has white space at its
     ends, which cleaning strips. Batch 3 deletes every copy but the first of a text. Batch 2 is
     then sent again, as after a failed acknowledgement, and changes nothing.
+
+    Rows with the same or a null id are separate documents: changes go by the stored row's number.
+    The first copy is that of the least id (null last), then of the least group (nulls first).
     """
     docs = documents(spark, sf_dir).select(
         "doc_id", "text", "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer_version")
     )
     counted = count_tokens(docs)
-    cleaned = F.trim(F.coalesce("text", F.lit("")))
+    cleaned = F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE))
     state = stored(
         counted.select(
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
             *GROUP,
             "tokens",
@@ -130,15 +136,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.length(cleaned) < F.length("text"), cleaned).alias("text"),
         )
     )
-    base = state.select("doc_id", *GROUP, "tokens", "text_hash", "n")
+    base = state.select("row", "doc_id", *GROUP, "tokens", "text_hash", "n")
     revised = stored(
-        count_tokens(state.where("untrimmed").select("doc_id", *GROUP, "tokens", "text"), out="new_tokens").drop("text")
+        count_tokens(state.where("untrimmed").select("row", *GROUP, "tokens", "text"), out="new_tokens").drop("text")
     )
     nothing = F.lit(None).cast("long")
 
     def changes(rows: DataFrame, action: str, old, new) -> DataFrame:
         return rows.select(
-            F.concat_ws(":", F.lit(action), F.col("doc_id").cast("string")).alias("change_id"),
+            F.concat_ws(":", F.lit(action), F.col("row").cast("string")).alias("change_id"),
             F.lit(action).alias("action"),
             *GROUP,
             old.alias("old_tokens"),
@@ -149,9 +155,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit(1, changes(base, INSERT, nothing, F.col("tokens")))
     second = changes(revised, REVISE, F.col("tokens"), F.col("new_tokens"))
     rollup.commit(2, second)
-    first = base.groupBy("text_hash", "n").agg(F.min("doc_id").alias("first_id"))
-    current = base.join(revised.select("doc_id", "new_tokens"), "doc_id", "left")
-    copies = current.join(first, ["text_hash", "n"]).where("doc_id > first_id")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *GROUP, "row")
+    first = base.groupBy("text_hash", "n").agg(F.min(place).alias("first")).select("text_hash", "n", F.col("first.row").alias("first_row"))
+    current = base.join(revised.select("row", "new_tokens"), "row", "left")
+    copies = current.join(first, ["text_hash", "n"]).where("row <> first_row")
     rollup.commit(3, changes(copies, DELETE, F.coalesce("new_tokens", "tokens"), nothing))
     rollup.commit(2, second)
     return rollup.totals()

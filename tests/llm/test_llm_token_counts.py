@@ -54,3 +54,28 @@ def test_query_against_plain_counts(spark, tmp_path):
     got = {(r.source, r.lang): (r.docs, r.tokens) for r in token_counts.op1_token_counts(spark, str(tmp_path)).collect()}
     count = lambda t: len(tokens.encode(t))
     assert got == {("a", "en"): (2, count("one two")), ("b", None): (1, count("pad")), ("b", "de"): (1, 0)}
+
+
+def test_query_counts_rows_with_null_and_repeated_ids(spark, tmp_path):
+    from scriptorium.llm import tokens
+
+    rows = [
+        (None, "one", "a", "en"),
+        (None, "two three", "a", "en"),
+        (None, "one", "c", "en"),
+        (7, "\n\tseven\u00a0\r\n", "b", "en"),
+        (7, "other text ", "b", "de"),
+        (7, "seven", "d", None),
+        (8, "two three", "b", "en"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang): (r.docs, r.tokens) for r in token_counts.op1_token_counts(spark, str(tmp_path)).collect()}
+    count = lambda *texts: (len(texts), sum(len(tokens.encode(t)) for t in texts))
+    # Copies are equal as stored: the first "one" is that of source a, "two three" stays with id 8.
+    assert got == {
+        ("a", "en"): count("one"),
+        ("c", "en"): (0, 0),
+        ("b", "en"): count("seven", "two three"),
+        ("b", "de"): count("other text"),
+        ("d", None): count("seven"),
+    }
