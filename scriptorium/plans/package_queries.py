@@ -126,9 +126,17 @@ def docx_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docx_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first matches of each document over its body and footnotes."""
+    return search.find(_stories(spark, sf_dir), "the", max_results=5, context_chars=10, scope="all")
+
+
+def docx_find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of each document over its body and footnotes."""
+    return search.find(_stories(spark, sf_dir), "the", context_chars=10, scope="all")
+
+
+def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _read(spark, sf_dir, [".*\\.rels", "word/document\\.xml", "word/footnotes\\.xml"])
-    stories = structure.stories(read.nodes, read.rels)
-    return search.find(stories, "the", max_results=5, context_chars=10, scope="all")
+    return structure.stories(read.nodes, read.rels)
 
 
 def docx_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +218,7 @@ QUERIES = {
     "docx_relationships": docx_relationships,
     "docx_notes": docx_notes,
     "docx_find": docx_find,
+    "docx_find_all": docx_find_all,
     "docx_outline": docx_outline,
     "docx_formatting": docx_formatting,
     "docx_plain_text": docx_plain_text,
@@ -310,3 +319,6 @@ SELECT doc_id, CAST(0 AS INTEGER) AS piece, '{html.HEAD}' || string_agg('<p>' ||
   replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '"', '&quot;')
   || '</p>', chr(10) ORDER BY idx) || '{html.TAIL}' AS html FROM lines GROUP BY doc_id""",
 }
+# docx_find's matches without its cut, so without its columns about the cut.
+_CUT = ", CAST(n AS INTEGER) AS match_no, c > 5 AS truncated"
+SQL["docx_find_all"] = SQL["docx_find"].replace(_CUT, "").removesuffix(" WHERE n <= 5")
