@@ -9,6 +9,7 @@ from scriptorium.llm import (
     line_dedup,
     near_dedup,
     packing,
+    resampling,
     secret_scan,
     token_counts,
     training_order,
@@ -26,5 +27,10 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
+}
+SQL = {
+    "op8_decontamination": decontamination.OP8_SQL,
+    "op9_secret_scan": secret_scan.OP9_SQL,
+    "op12_importance_resampling": resampling.OP12_SQL,
 }
-SQL = {"op8_decontamination": decontamination.OP8_SQL, "op9_secret_scan": secret_scan.OP9_SQL}
