@@ -9,6 +9,7 @@ from scriptorium.llm import (
     line_dedup,
     near_dedup,
     packing,
+    pii,
     resampling,
     secret_scan,
     token_counts,
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_pii": pii.op13_pii,
 }
 SQL = {
     "op8_decontamination": decontamination.OP8_SQL,
