@@ -15,6 +15,7 @@ from scriptorium.llm import (
     token_counts,
     training_order,
     toxicity,
+    vector_codes,
 )
 
 QUERIES = {
@@ -28,11 +29,13 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_pii": pii.op13_pii,
 }
 SQL = {
     "op8_decontamination": decontamination.OP8_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
     "op12_importance_resampling": resampling.OP12_SQL,
 }
