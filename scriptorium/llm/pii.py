@@ -134,8 +134,8 @@ MARK_WORDS = {".": ("dot", "punkt", "point", "punto"), "_": ("underscore",), "-"
 
 
 @lru_cache(maxsize=1)
-def lookalikes() -> tuple[re.Pattern, dict[int, str]]:
-    """A pattern of characters to replace by one ASCII character each, and by which."""
+def lookalikes() -> dict[int, str]:
+    """Code points to replace by one ASCII character each."""
     table = {ord(c): a for c, a in LOOKALIKES.items()}
     for low, high in ((0x600, 0x1100), (0x2000, 0x3100), (0xFE00, 0xFFF0), (0x1D400, 0x1D800)):
         for code in range(low, high):
@@ -145,7 +145,7 @@ def lookalikes() -> tuple[re.Pattern, dict[int, str]]:
             raised = unicodedata.decomposition(char).startswith(("<super>", "<sub>"))
             if len(plain) == 1 and plain.isascii() and plain.isprintable() and not raised:
                 table.setdefault(code, plain)
-    return re.compile(f"[{''.join(map(re.escape, map(chr, sorted(table))))}]"), table
+    return table
 
 
 @dataclass(frozen=True)
@@ -170,11 +170,14 @@ class Edits:
         return self.source[k][1] if place <= self.output[k][1] else self.source[k][1] + place - self.output[k][1]
 
 
-def rewritten(text: str, pattern: re.Pattern, output: Callable[[re.Match], list[tuple[int, int, str]]]) -> tuple[str, Edits]:
-    """``text`` with ranges replaced: those that ``output`` gives for every match, in order."""
+def rewritten(
+    text: str, pattern: re.Pattern, output: Callable[[re.Match], list[tuple[int, int, str]]], lowered: str
+) -> tuple[str, Edits]:
+    """``text`` with ranges replaced: those that ``output`` gives for every match in ``lowered``, in order."""
     pieces, edits, done, length = [], Edits([], []), 0, 0
-    for found in pattern.finditer(text):
+    for found in pattern.finditer(lowered):
         for begin, end, instead in output(found):
+            begin = max(begin, done)
             pieces += (text[done:begin], instead)
             length += begin - done
             edits.output.append((length, length + len(instead)))
@@ -183,45 +186,51 @@ def rewritten(text: str, pattern: re.Pattern, output: Callable[[re.Match], list[
     return ("".join([*pieces, text[done:]]) if edits.source else text), edits
 
 
-def whole(instead: str | Callable[[re.Match], str]) -> Callable[[re.Match], list[tuple[int, int, str]]]:
+def whole(instead: str) -> Callable[[re.Match], list[tuple[int, int, str]]]:
     """Replaces all of a match."""
-    return lambda found: [(*found.span(), instead if isinstance(instead, str) else instead(found))]
+    return lambda found: [(*found.span(), instead)]
 
 
 def any_of(words: tuple[str, ...]) -> str:
     return "|".join(sorted(map(re.escape, words), key=len, reverse=True))
 
 
+# Patterns of what is in lower case. They begin with what they look for, so that a scan is quick; what
+# stands before a match is looked at afterwards.
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
-_OPEN, _CLOSE = r" {0,2}[\[({<] {0,2}", r" {0,2}[\])}>] {0,2}"
 _MARKS = re.compile(
-    rf"{_OPEN}(?:(?P<at>@|{any_of(AT_WORDS)})|(?P<dot>\.|{any_of(MARK_WORDS['.'])})){_CLOSE}"
-    r"|(?P<at_code>&#64;|&#x40;|&commat;|%40)|(?P<dot_code>&#46;|&#x2e;|&period;)",
-    re.IGNORECASE,
+    rf"[\[({{<] {{0,2}}(?:(?P<at>@|{any_of(AT_WORDS)})|(?P<dot>\.|{any_of(MARK_WORDS['.'])})) {{0,2}}[\])}}>] {{0,2}}"
+    r"|(?P<at_code>&#64;|&#x40;|&commat;|%40)|(?P<dot_code>&#46;|&#x2e;|&period;)"
 )
 _DIGIT = {w: d for d, words in DIGIT_WORDS.items() for w in words}
 _SPELLED = rf"(?:{any_of(tuple(_DIGIT))})(?!\w)"
 _RUN = rf"{_SPELLED}(?:(?:[ -]|, ?){_SPELLED})*+"
-_DIGITS = re.compile(rf"(?<!\w)(?:(?P<plus>plus +(?=[0-9]|{_SPELLED}))(?:{_RUN})?|{_RUN})", re.IGNORECASE)
-_ONE = re.compile(_SPELLED, re.IGNORECASE)
+_DIGITS = re.compile(rf"(?P<plus>plus +(?=[0-9]|{_SPELLED}))(?:{_RUN})?|{_RUN}")
+_ONE = re.compile(_SPELLED)
 _SPELLED_MARK = {w: mark for mark, words in MARK_WORDS.items() for w in (*words, mark)}
-_MARK, _DOT = any_of(tuple(_SPELLED_MARK)), any_of((*MARK_WORDS["."], "."))
-_PART, _LABEL = rf"(?:[0-9]++|{_SPELLED})", "[A-Za-z0-9-]++"
-_SPOKEN_IP = re.compile(rf"(?<![\w.]){_PART}(?: (?:{_DOT}) {_PART}){{3}}", re.IGNORECASE)
-_IN_IP = re.compile(rf" (?P<dot>{_DOT}) |(?P<digit>{_SPELLED})", re.IGNORECASE)
-_SPOKEN_AT = re.compile(rf" (?:{any_of(AT_WORDS)}|@) (?=(?P<domain>{_LABEL}(?:(?:\.| (?:{_MARK}) ){_LABEL})++))", re.IGNORECASE)
-_BETWEEN = re.compile(rf" (?P<mark>{_MARK}) ", re.IGNORECASE)
+_MARK, _DOTS = any_of(tuple(_SPELLED_MARK)), (*MARK_WORDS["."], ".")
+_DOT, _PART, _LABEL = any_of(_DOTS), rf"(?:[0-9]++|{_SPELLED})", "[a-z0-9-]++"
+_SPOKEN_IP = re.compile(rf"(?<![\w.]){_PART}(?: (?:{_DOT}) {_PART}){{3}}")
+_IN_IP = re.compile(rf" (?P<dot>{_DOT}) |(?P<digit>{_SPELLED})")
+_SPOKEN_AT = re.compile(rf" (?:{any_of(AT_WORDS)}|@) (?=(?P<domain>{_LABEL}(?:(?:\.| (?:{_MARK}) ){_LABEL})++))")
+_BETWEEN = re.compile(rf" (?P<mark>{_MARK}) ")
 _LONGEST_MARK = max(map(len, _SPELLED_MARK))
 
 
-def marks(found: re.Match) -> str:
-    return "@" if found["at"] or found["at_code"] else "."
+def marks(found: re.Match) -> list[tuple[int, int, str]]:
+    """A mark for a disguised one, with the blanks around its brackets."""
+    begin, end = found.span()
+    for _ in range(2 if found["at"] or found["dot"] else 0):
+        begin -= begin > 0 and found.string[begin - 1] == " "
+    return [(begin, end, "@" if found["at"] or found["at_code"] else ".")]
 
 
 def digits(found: re.Match) -> list[tuple[int, int, str]]:
     """Digits for a run of digit words; a word alone counts between digits, or after a plus sign."""
     text, out = found.string, []
     begin, end = found.span()
+    if begin and (text[begin - 1].isalnum() or text[begin - 1] == "_"):
+        return []
     if found["plus"]:
         out.append((begin, begin + len(found["plus"]), "+"))
         begin += len(found["plus"])
@@ -231,12 +240,12 @@ def digits(found: re.Match) -> list[tuple[int, int, str]]:
     if len(words) > 1 or found["plus"] or before == "+" or inside:
         # What lies between two words goes with the first of them.
         ends = [b for b, _ in words[1:]] + [end]
-        out += [(b, stop, _DIGIT[text[b:e].lower()]) for (b, e), stop in zip(words, ends)]
+        out += [(b, stop, _DIGIT[text[b:e]]) for (b, e), stop in zip(words, ends)]
     return out
 
 
 def spoken_ip(found: re.Match) -> list[tuple[int, int, str]]:
-    return [(*m.span(), "." if m["dot"] else _DIGIT[m["digit"].lower()]) for m in _IN_IP.finditer(found.string, *found.span())]
+    return [(*m.span(), "." if m["dot"] else _DIGIT[m["digit"]]) for m in _IN_IP.finditer(found.string, *found.span())]
 
 
 def namelike(name: str) -> bool:
@@ -261,14 +270,14 @@ def spoken_address() -> Callable[[re.Match], list[tuple[int, int, str]]]:
             while begin > done and text[begin - 1] in _LOCAL:
                 begin -= 1
             space = text.rfind(" ", max(done, begin - _LONGEST_MARK - 2), max(begin - 1, 0)) if begin < end else -1
-            mark = _SPELLED_MARK.get(text[space + 1 : begin - 1].lower()) if space > 0 and text[begin - 1] == " " else None
+            mark = _SPELLED_MARK.get(text[space + 1 : begin - 1]) if space > 0 and text[begin - 1] == " " else None
             if mark is None or text[space - 1] not in _LOCAL:
                 break
             out.append((space, begin, mark))
             begin = space
         name = text[begin : found.start()]
         done = found.start()
-        parts = [(*m.span(), _SPELLED_MARK[m["mark"].lower()]) for m in _BETWEEN.finditer(text, found.end(), found.end("domain"))]
+        parts = [(*m.span(), _SPELLED_MARK[m["mark"]]) for m in _BETWEEN.finditer(text, found.end(), found.end("domain"))]
         if begin == end or not (parts or len(out) > 1 or namelike(name)):
             return []
         done = found.end("domain")
@@ -283,18 +292,23 @@ def normalised(text: str) -> tuple[str, list[Edits]]:
 
     def then(pattern: re.Pattern, output: Callable[[re.Match], list[tuple[int, int, str]]]) -> None:
         nonlocal text
-        text, edits = rewritten(text, pattern, output)
+        lowered = text.lower()
+        # A few letters take more room in lower case; places must be the text's own.
+        lowered = lowered if len(lowered) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+        text, edits = rewritten(text, pattern, output, lowered)
         if edits.source:
             made.append(edits)
 
     if not text.isascii():
-        like, table = lookalikes()
-        if like.search(text):
+        held, table = set(text), lookalikes()
+        if not table.keys().isdisjoint(map(ord, held)):
             text = text.translate(table)  # one character for each, so all places stay
-        then(_INVISIBLE, whole(""))
-    then(_MARKS, whole(marks))
+        if not held.isdisjoint(INVISIBLE):
+            then(_INVISIBLE, whole(""))
+    then(_MARKS, marks)
     then(_DIGITS, digits)
-    then(_SPOKEN_IP, spoken_ip)
+    if any(f" {word} " in text.lower() for word in _DOTS):
+        then(_SPOKEN_IP, spoken_ip)
     then(_SPOKEN_AT, spoken_address())
     return text, made
 

@@ -56,6 +56,7 @@ DISGUISED = [
     ("über <ｊｏｅ＠ｅｘａｍｐｌｅ．ｃｏｍ> ok", "email", "joe@example.com"),
     ("é <jоhn.sмith@example.com>", "email", "john.smith@example.com"),
     ("<a​b@c‍.de> ß", "email", "ab@c.de"),
+    ("ok <joe (at)  a  (dot)  b> ok", "email", "joe@a.b"),
     ("server <192[.]168[.]1[.]10> down", "ip", "192.168.1.10"),
     ("at <one nine two dot one six eight dot one dot one>", "ip", "192.168.1.1"),
     ("<１９２.１６８.1.1>", "ip", "192.168.1.1"),
