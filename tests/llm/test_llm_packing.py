@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from scriptorium.llm import packing
+from scriptorium.llm import packing, tokens
 
 
 @settings(max_examples=50, deadline=None)
@@ -66,3 +66,11 @@ def test_pieces_hold_the_tokenizers_ids(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(docs, with_ids=False).collect() == []
+
+
+def test_long_runs_are_encoded_like_the_named_tokenizer():
+    named = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_200_000 + "x", "\n" * 1_000_001, "a\t" + " \n" * 100_000 + "é<|endoftext|>", "y" * 1_000_000, "z" + " " * 99_999 + "!"):
+        assert tokens.encode(text).tolist() == named.encode(text, add_special_tokens=False).ids
+    for piece in (" ", "\n", "a"):
+        assert tokens.encode(piece * 3_000_000).size > 0
