@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.lineage import cut
+from scriptorium.operators import composed as C
 from scriptorium.operators import diff as D
 from scriptorium.operators import edits as E
 from scriptorium.operators import versions as V
@@ -76,12 +77,48 @@ def delete_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.delete_paragraphs(lines(spark, sf_dir), edits).paragraphs
 
 
+def _requests(docs: DataFrame, *each: dict) -> DataFrame:
+    """The same requests, in order, of every document."""
+    fields = {n: next(r[n] for r in each if n in r) for n in dict.fromkeys(n for r in each for n in r)}
+    one = lambda seq, r: F.struct(
+        F.lit(seq).alias("seq"), *[(r[n] if n in r else F.lit(None)).cast(C.REQUEST[n]).alias(n) for n in fields]
+    )
+    return docs.select("doc_id", F.explode(F.array(*[one(n, r) for n, r in enumerate(each)])).alias("_e")).select("doc_id", "_e.*")
+
+
 def edits_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines 0 and then 1 of what is left go from every document; the third edit fails where too
     few lines are left, and such a document stays as it was."""
-    places = F.explode(F.array(*[F.struct(F.lit(n).alias("seq"), F.lit(i).alias("idx")) for n, i in ((1, 0), (2, 1), (3, 2))]))
-    edits = _documents(spark, sf_dir).select("doc_id", places.alias("_e")).select("doc_id", "_e.*")
-    return E.in_order(lines(spark, sf_dir), edits, E.delete_paragraphs).paragraphs
+    deletions = [{"action": F.lit("delete"), "idx": F.lit(n)} for n in range(3)]
+    return C.compose(lines(spark, sf_dir), _requests(_documents(spark, sf_dir), *deletions)).paragraphs
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> C.Edited:
+    """A title goes in, the second line goes, a word is replaced everywhere and once more in the
+    first line, and the first line, the title and a note at the end get styles. Documents with one
+    line have no second one, and lines that begin with a T must not be touched."""
+    language = F.concat(F.lit("the title in "), "lang")
+    steps = [
+        {"action": F.lit("insert"), "idx": F.lit(0), "text": language, "style": F.lit("Title")},
+        {"action": F.lit("delete"), "idx": F.lit(2)},
+        {"action": F.lit("replace"), "find": F.lit("the"), "replacement": F.lit("A & B"), "all": F.lit(True)},
+        {"action": F.lit("replace"), "idx": F.lit(1), "find": F.lit("e"), "replacement": F.lit("<e>")},
+        {"action": F.lit("format"), "idx": F.lit(1), "style": F.lit("Lead")},
+        {"action": F.lit("insert"), "text": F.lit("the end"), "style": F.lit("Note")},
+    ]
+    return C.compose(_styled_lines(spark, sf_dir), _requests(_documents(spark, sf_dir), *steps), _guards(spark, sf_dir))
+
+
+def _styled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).withColumn("style", F.when(F.col("idx") % 3 == 0, "Third"))
+
+
+def composed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).paragraphs
+
+
+def composed_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).rejects
 
 
 def deleted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +228,8 @@ QUERIES = {
     "insert_paragraphs": insert_paragraphs,
     "delete_paragraphs": delete_paragraphs,
     "edits_in_order": edits_in_order,
+    "composed_edits": composed_edits,
+    "composed_refused": composed_refused,
     "deleted_texts": deleted_texts,
     "insert_text": insert_text,
     "delete_range": delete_range,
@@ -204,6 +243,13 @@ QUERIES = {
 }
 
 _SIZES = "sizes AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM lines GROUP BY doc_id)"
+# A document is refused by its first request that fails: the title, put before a protected first line,
+# then the deletion of the second line.
+_REFUSED_MIXED = """refused AS (
+  SELECT doc_id, CASE WHEN first LIKE 'T%' THEN 'protected' WHEN n < 2 THEN 'no paragraph has this index' ELSE 'protected' END AS reason
+  FROM sizes JOIN (SELECT doc_id, max(CASE WHEN idx = 0 THEN text END) AS first, max(CASE WHEN idx = 1 THEN text END) AS second
+    FROM lines GROUP BY doc_id) USING (doc_id)
+  WHERE first LIKE 'T%' OR n < 2 OR second LIKE 'T%')"""
 _STORIES = """stories AS (SELECT doc_id, string_agg(text || chr(13), '' ORDER BY idx) AS story
   FROM lines GROUP BY doc_id)"""
 _RESPLIT = """SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, parts[i] AS text
@@ -256,6 +302,19 @@ FROM kept WHERE NOT (ok AND idx = p)""",
     "edits_in_order": f"""WITH {LINES_SQL}, {_SIZES}
 SELECT doc_id, CAST(CASE WHEN n < 5 THEN idx WHEN idx = 1 THEN 0 WHEN idx = 3 THEN 1 ELSE idx - 3 END AS INTEGER) AS idx, text
 FROM lines JOIN sizes USING (doc_id) WHERE n < 5 OR idx NOT IN (0, 2, 4)""",
+    "composed_edits": f"""WITH {LINES_SQL}, {_SIZES}, {_REFUSED_MIXED},
+edited AS (
+  SELECT doc_id, 0 AS idx, 'A & B title in ' || lang AS text, 'Title' AS style FROM documents JOIN sizes USING (doc_id)
+  UNION ALL SELECT doc_id, CASE WHEN idx = 0 THEN 1 ELSE idx END,
+    CASE WHEN idx > 0 OR position('e' IN new) = 0 THEN new
+      ELSE left(new, position('e' IN new) - 1) || '<e>' || substring(new, position('e' IN new) + 1) END,
+    CASE WHEN idx = 0 THEN 'Lead' WHEN idx % 3 = 0 THEN 'Third' END
+  FROM (SELECT doc_id, idx, replace(text, 'the', 'A & B') AS new FROM lines) WHERE idx <> 1
+  UNION ALL SELECT doc_id, n, 'the end', 'Note' FROM sizes
+)
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, text, style FROM edited WHERE doc_id NOT IN (SELECT doc_id FROM refused)
+UNION ALL SELECT doc_id, idx, text, CASE WHEN idx % 3 = 0 THEN 'Third' END FROM lines WHERE doc_id IN (SELECT doc_id FROM refused)""",
+    "composed_refused": f"""WITH {LINES_SQL}, {_SIZES}, {_REFUSED_MIXED} SELECT doc_id, reason FROM refused""",
     "deleted_texts": f"""WITH {LINES_SQL}
 SELECT doc_id, idx, text AS deleted_text FROM lines WHERE idx = 1 AND text NOT LIKE 'T%'""",
     "insert_text": f"""WITH {LINES_SQL}, {_STORIES},
