@@ -77,20 +77,11 @@ def delete_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.delete_paragraphs(lines(spark, sf_dir), edits).paragraphs
 
 
-def _requests(docs: DataFrame, *each: dict) -> DataFrame:
-    """The same requests, in order, of every document."""
-    fields = {n: next(r[n] for r in each if n in r) for n in dict.fromkeys(n for r in each for n in r)}
-    one = lambda seq, r: F.struct(
-        F.lit(seq).alias("seq"), *[(r[n] if n in r else F.lit(None)).cast(C.REQUEST[n]).alias(n) for n in fields]
-    )
-    return docs.select("doc_id", F.explode(F.array(*[one(n, r) for n, r in enumerate(each)])).alias("_e")).select("doc_id", "_e.*")
-
-
 def edits_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines 0 and then 1 of what is left go from every document; the third edit fails where too
     few lines are left, and such a document stays as it was."""
     deletions = [{"action": F.lit("delete"), "idx": F.lit(n)} for n in range(3)]
-    return C.compose(lines(spark, sf_dir), _requests(_documents(spark, sf_dir), *deletions)).paragraphs
+    return C.compose(lines(spark, sf_dir), C.same_requests(_documents(spark, sf_dir), *deletions)).paragraphs
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> C.Edited:
@@ -106,7 +97,7 @@ def _mixed(spark: SparkSession, sf_dir: str) -> C.Edited:
         {"action": F.lit("format"), "idx": F.lit(1), "style": F.lit("Lead")},
         {"action": F.lit("insert"), "text": F.lit("the end"), "style": F.lit("Note")},
     ]
-    return C.compose(_styled_lines(spark, sf_dir), _requests(_documents(spark, sf_dir), *steps), _guards(spark, sf_dir))
+    return C.compose(_styled_lines(spark, sf_dir), C.same_requests(_documents(spark, sf_dir), *steps), _guards(spark, sf_dir))
 
 
 def _styled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.lineage import stored
-from scriptorium.operators import formatting, inline, markdown, numbering, search, structure, styles
+from scriptorium.operators import formatting, inline, markdown, numbering, saving, search, structure, styles
 from scriptorium.operators import paragraphs as P
+from scriptorium.operators.composed import same_requests
 from scriptorium.plans.page_queries import BLOCKS_SQL, RUNS_SQL
-from scriptorium.plans.tables import lines, pages
+from scriptorium.plans.tables import lines, pages, table
 from scriptorium.plans.text_queries import LINES_SQL
 from scriptorium.schema import CONTENT_TYPE, REL, WORD_NS
 from scriptorium.sinks import docx, html
@@ -124,6 +125,61 @@ def docx_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.notes(read.nodes, read.rels, "footnote")
 
 
+def _marked_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line in two runs; by first letter a line has a bookmark, a content control or a table cell around it."""
+    styled = _styled(spark, sf_dir)
+    half = F.floor(F.length("text") / 2).cast("int")
+    halves = F.array(
+        F.struct(F.lit(0).alias("run"), F.substring("text", F.lit(1), half).alias("text"), F.lit(True).alias("bold")),
+        F.struct(F.lit(1).alias("run"), F.substring("text", half + 1, F.length("text")).alias("text"), F.lit(None).cast("boolean").alias("bold")),
+    )
+    runs = styled.select("doc_id", "idx", F.explode(halves).alias("_r")).select("doc_id", "idx", "_r.*")
+    first = styled.select("doc_id", "idx", F.substring("text", 1, 1).alias("_c"))
+    around = lambda before, after: F.concat(F.lit(before), "xml", F.lit(after))
+    number = F.col("idx").cast("string")
+    opened = F.concat(F.lit('<w:bookmarkStart w:id="'), number, F.lit('" w:name="here'), number, F.lit('"/><w:bookmarkEnd w:id="'), number, F.lit('"/></w:p>'))
+    letter = F.col("_c")
+    xml = (
+        F.when(letter == "T", F.replace(F.col("xml"), F.lit("</w:p>"), opened))
+        .when(letter == "A", around("<w:sdt><w:sdtContent>", "</w:sdtContent></w:sdt>"))
+        .when(letter == "S", around("<w:tbl><w:tr><w:tc>", "</w:tc></w:tr></w:tbl>"))
+        .otherwise(F.col("xml"))
+    )
+    blocks = docx.paragraph_xml(styled, runs).join(first, ["doc_id", "idx"]).select("doc_id", "idx", xml.alias("xml"))
+    return docx.packages_of(blocks, EXTRA).packages
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> saving.Saved:
+    """Six requests for every package, each on what the one before left: a title before the first
+    paragraph, the second line away, a word replaced everywhere and a letter in the first line, its
+    style, and a note at the end."""
+    steps = [
+        {"action": F.lit("insert"), "idx": F.lit(0), "text": F.concat(F.lit("the title in "), "lang"), "style": F.lit("Opening")},
+        {"action": F.lit("delete"), "idx": F.lit(2)},
+        {"action": F.lit("replace"), "find": F.lit("the"), "replacement": F.lit("A & B"), "all": F.lit(True)},
+        {"action": F.lit("replace"), "idx": F.lit(1), "find": F.lit("e"), "replacement": F.lit("<e>")},
+        {"action": F.lit("format"), "idx": F.lit(1), "style": F.lit("Clause")},
+        {"action": F.lit("insert"), "text": F.lit("the end"), "style": F.lit("Passage")},
+    ]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return saving.save(stored(_marked_packages(spark, sf_dir)), same_requests(docs, *steps))
+
+
+def docx_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of saved packages, read back."""
+    parts = S.open_packages(_saved(spark, sf_dir).packages).parts
+    return structure.listing(N.accepted(N.ingest_nodes(parts, _BODY)))
+
+
+def docx_saved_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts of saved packages hold other bytes than before."""
+    return _saved(spark, sf_dir).parts.select("doc_id", "part", (F.col("before") != F.col("after")).alias("changed"))
+
+
+def docx_saved_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saved(spark, sf_dir).rejects
+
+
 def docx_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first matches of each document over its body and footnotes."""
     return search.find(_stories(spark, sf_dir), "the", max_results=5, context_chars=10, scope="all")
@@ -217,6 +273,9 @@ QUERIES = {
     "docx_part_text": docx_part_text,
     "docx_relationships": docx_relationships,
     "docx_notes": docx_notes,
+    "docx_saved": docx_saved,
+    "docx_saved_parts": docx_saved_parts,
+    "docx_saved_refused": docx_saved_refused,
     "docx_find": docx_find,
     "docx_find_all": docx_find_all,
     "docx_outline": docx_outline,
@@ -229,6 +288,17 @@ QUERIES = {
     "html_preview": html_preview,
 }
 
+# Requests are refused in their order; replacements, which concern all paragraphs, after the others.
+_LOCKED, _ANCHORED = "inside a revision or a content control", "ranges begin or end here"
+_REFUSED_SAVES = f"""firsts AS (
+  SELECT doc_id, CAST(count(*) AS INTEGER) AS n, max(CASE WHEN idx = 0 THEN text END) AS first, max(CASE WHEN idx = 1 THEN text END) AS second,
+    bool_or(idx <> 1 AND text LIKE 'A%' AND text LIKE '%the%') AS locked,
+    bool_or(idx <> 1 AND text LIKE 'T%' AND (text LIKE '%the%' OR idx = 0 AND text LIKE '%e%')) AS anchored
+  FROM lines GROUP BY doc_id),
+refused AS (
+  SELECT doc_id, reason FROM (SELECT doc_id, CASE WHEN first LIKE 'A%' THEN '{_LOCKED}' WHEN n < 2 THEN 'no paragraph has this index'
+    WHEN second LIKE 'A%' THEN '{_LOCKED}' WHEN second LIKE 'T%' THEN '{_ANCHORED}' WHEN second LIKE 'S%' THEN 'the last paragraph of its tc'
+    WHEN locked THEN '{_LOCKED}' WHEN anchored THEN '{_ANCHORED}' END AS reason FROM firsts) WHERE reason IS NOT NULL)"""
 _STYLED = """styled AS (SELECT *, idx % 8 AS m,
   CASE idx % 8 WHEN 0 THEN 'Opening' WHEN 3 THEN 'Passage' WHEN 5 THEN 'Clause' END AS "style" FROM lines)"""
 _LEVEL = "CAST(CASE m WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 2 END AS INTEGER)"
@@ -256,6 +326,23 @@ sizes AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM lines GROUP BY doc_
 SQL = {
     "docx_roundtrip": f"""WITH {LINES_SQL}, {_STYLED}
 SELECT doc_id, idx, text, "style", FALSE AS in_table FROM styled""",
+    "docx_saved": f"""WITH {LINES_SQL}, {_STYLED}, {_REFUSED_SAVES},
+edited AS (
+  SELECT doc_id, 0 AS idx, 'A & B title in ' || lang AS text, 'Opening' AS "style", first LIKE 'S%' AS in_table
+  FROM documents JOIN firsts USING (doc_id)
+  UNION ALL SELECT doc_id, CASE WHEN idx = 0 THEN 1 ELSE idx END,
+    CASE WHEN idx > 0 OR position('e' IN new) = 0 THEN new
+      ELSE left(new, position('e' IN new) - 1) || '<e>' || substring(new, position('e' IN new) + 1) END,
+    CASE WHEN idx = 0 THEN 'Clause' ELSE "style" END, text LIKE 'S%'
+  FROM (SELECT *, replace(text, 'the', 'A & B') AS new FROM styled) WHERE idx <> 1
+  UNION ALL SELECT doc_id, n, 'the end', 'Passage', FALSE FROM firsts
+)
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, text, "style", in_table FROM edited WHERE doc_id NOT IN (SELECT doc_id FROM refused)
+UNION ALL SELECT doc_id, idx, text, "style", text LIKE 'S%' FROM styled WHERE doc_id IN (SELECT doc_id FROM refused)""",
+    "docx_saved_parts": f"""WITH {LINES_SQL}, {_REFUSED_SAVES}
+SELECT doc_id, part, part = 'word/document.xml' AND doc_id NOT IN (SELECT doc_id FROM refused) AS changed
+FROM (SELECT doc_id, unnest([{_NAME_LIST}]) AS part FROM documents)""",
+    "docx_saved_refused": f"""WITH {LINES_SQL}, {_REFUSED_SAVES} SELECT doc_id, reason FROM refused""",
     "docx_info": f"""WITH {LINES_SQL}
 SELECT doc_id, count(*) AS paragraph_count, CAST(sum(length(text)) AS BIGINT) AS character_count,
   [{_NAME_LIST}] AS parts FROM lines GROUP BY doc_id""",

@@ -78,14 +78,21 @@ def parts_schema(doc_type: T.DataType) -> T.StructType:
     )
 
 
-def nodes_schema(doc_type: T.DataType) -> T.StructType:
+#: Where an element lies in its part's bytes: its first byte, the first after its start tag, the first of its
+#: end tag (null for an empty element of one tag) and the first after it; and its prefix.
+PLACES = ("start", "inner", "close", "end", "prefix")
+
+
+def nodes_schema(doc_type: T.DataType, places: bool = False) -> T.StructType:
     """One XML element per row, in document order within (doc_id, part).
 
     ``first``: first among the equally named children of its parent. ``para``: ordinal of
     the nearest Word paragraph that contains or is the element. ``ancestors``: root first.
     ``within``: the last three ancestors' names joined by slashes, with a star after those
-    that are first of their kind and a question mark for other vocabularies.
+    that are first of their kind and a question mark for other vocabularies. ``PLACES`` are there if
+    ``places`` is set.
     """
+    placed = [T.StructField(n, T.StringType() if n == "prefix" else T.IntegerType()) for n in PLACES]
     return T.StructType(
         [
             T.StructField("doc_id", doc_type),
@@ -105,6 +112,7 @@ def nodes_schema(doc_type: T.DataType) -> T.StructType:
             T.StructField("within", T.StringType()),
             T.StructField("reason", T.StringType()),
         ]
+        + (placed if places else [])
     )
 
 

@@ -206,12 +206,16 @@ def _zipped(entries: Sequence[tuple[str, bytes]]) -> bytes:
 def packages(
     paragraphs: DataFrame, runs: DataFrame | None = None, extra: Sequence[Part] = ()
 ) -> Written:
-    """One package per document: ``(doc_id, content)``.
+    """One package per document: ``(doc_id, content)``."""
+    return packages_of(paragraph_xml(paragraphs, runs), extra)
+
+
+def packages_of(xml: DataFrame, extra: Sequence[Part] = ()) -> Written:
+    """Packages of blocks ``(doc_id, idx, xml)``, in order, in the ``w`` prefix.
 
     Documents with text that XML cannot hold are rejected before any document is put together.
     A package is one file, so the paragraphs of a document meet in one row.
     """
-    xml = paragraph_xml(paragraphs, runs)
     invalid = ~X.valid_xml_text(F.col("xml"))
     limits = xml.groupBy("doc_id").agg(F.bool_or(invalid).alias("_invalid"))
     reason = F.when(F.col("_invalid"), "a character that XML cannot hold")
@@ -235,7 +239,7 @@ def packages(
             yield batch[["doc_id", "content"]]
 
     schema = T.StructType(
-        [T.StructField("doc_id", paragraphs.schema["doc_id"].dataType), T.StructField("content", T.BinaryType())]
+        [T.StructField("doc_id", xml.schema["doc_id"].dataType), T.StructField("content", T.BinaryType())]
     )
     return Written(bodies.mapInPandas(compress, schema), rejects)
 

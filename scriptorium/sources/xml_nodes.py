@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from xml.parsers import expat
@@ -13,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from scriptorium.schema import (
     DOCUMENT_PART,
+    PLACES,
     WORD_NS,
     nodes_schema,
 )
@@ -75,14 +77,44 @@ class _Reader:
         raise ValueError("a DOCTYPE is refused")
 
 
-def parse_part(part: str, data: bytes) -> _Reader:
+#: A start tag and its prefix; a bound of an attribute's value may be in it, and ``>`` in the value.
+_TAG = re.compile(rb"""<(?:([^\s:/>]++):)?+(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
+
+
+class _PlacedReader(_Reader):
+    """Also notes where elements lie in the part's bytes."""
+
+    def __init__(self, data: bytes, parser: expat.XMLParserType, skipped: int) -> None:
+        super().__init__()
+        self.bytes, self.parser, self.skipped = data, parser, skipped
+        #: Of each element: first byte, first after the start tag, first of the end tag, first after all; prefix.
+        self.places: list[list] = []
+
+    def start(self, tag: str, pairs: list[str]) -> None:
+        super().start(tag, pairs)
+        begin = self.parser.CurrentByteIndex
+        opening = _TAG.match(self.bytes, begin)
+        inner = opening.end()
+        prefix = (opening[1] or b"").decode()
+        self.places.append([begin + self.skipped, inner + self.skipped, None, inner + self.skipped, prefix])
+
+    def end(self, tag: str) -> None:
+        place = self.places[self.open[-1][0]]
+        super().end(tag)
+        if self.bytes[place[1] - self.skipped - 2] != ord("/"):
+            close = self.parser.CurrentByteIndex
+            place[2], place[3] = close + self.skipped, self.bytes.index(b">", close) + 1 + self.skipped
+
+
+def parse_part(part: str, data: bytes, placed: bool = False) -> _Reader:
     """Read one part; a ValueError tells why it is refused."""
     try:
         text = data.decode("utf-8").removeprefix("\ufeff")
     except UnicodeDecodeError as error:
         raise ValueError("not UTF-8") from error
-    reader = _Reader()
     parser = expat.ParserCreate("utf-8", _SEPARATOR)
+    plain = text.encode("utf-8")
+    reader = _PlacedReader(plain, parser, len(data) - len(plain)) if placed else _Reader()
     parser.ordered_attributes = True
     parser.buffer_text = True
     parser.StartElementHandler = reader.start
@@ -90,7 +122,7 @@ def parse_part(part: str, data: bytes) -> _Reader:
     parser.CharacterDataHandler = reader.data
     parser.StartDoctypeDeclHandler = reader.doctype
     try:
-        parser.Parse(text.encode("utf-8"), True)
+        parser.Parse(plain, True)
     except expat.ExpatError as error:
         raise ValueError(f"not well-formed: {error}") from error
     if part == DOCUMENT_PART:
@@ -108,6 +140,7 @@ class _Refused:
     """A part that is not read, as one row with a reason."""
 
     texts: tuple = ([],)
+    places: tuple = ((None,) * 5,)
 
     def __init__(self, reason: str) -> None:
         self.reason = reason
@@ -149,6 +182,8 @@ def _batch(items: list[tuple[object, str, _Reader | _Refused]], schema: pa.Schem
         "within": flat[11],
         "reason": repeated([getattr(item[2], "reason", None) for item in items]),
     }
+    if "start" in schema.names:
+        columns |= dict(zip(PLACES, zip(*(place for _, _, reader in items for place in reader.places))))
     arrays = []
     for field in schema:
         if field.name == "attrs":
@@ -166,10 +201,13 @@ def _batch(items: list[tuple[object, str, _Reader | _Refused]], schema: pa.Schem
 _BATCH = 20_000
 
 
-def parse_parts(parts: DataFrame) -> DataFrame:
-    """Element rows of every given part, or one row with a ``reason`` per refused part."""
+def parse_parts(parts: DataFrame, places: bool = False) -> DataFrame:
+    """Element rows of every given part, or one row with a ``reason`` per refused part.
+
+    With ``places`` the rows tell where elements lie in their part's bytes.
+    """
     doc_type = parts.schema["doc_id"].dataType
-    spark_schema = nodes_schema(doc_type)
+    spark_schema = nodes_schema(doc_type, places)
     schema = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +216,7 @@ def parse_parts(parts: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, part, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 try:
-                    reader: _Reader | _Refused = parse_part(part, data)
+                    reader: _Reader | _Refused = parse_part(part, data, places)
                 except ValueError as error:
                     reader = _Refused(str(error))
                 held.append((doc_id, part, reader))
@@ -192,7 +230,7 @@ def parse_parts(parts: DataFrame) -> DataFrame:
     return parts.select("doc_id", "part", "bytes").mapInArrow(run, spark_schema)
 
 
-def ingest_nodes(parts: DataFrame, names: list[str] | None = None) -> DataFrame:
+def ingest_nodes(parts: DataFrame, names: list[str] | None = None, places: bool = False) -> DataFrame:
     """The XML parts of packages as element rows.
 
     Binary parts are never parsed. ``names`` narrows the parts (regular expressions), so a
@@ -201,7 +239,7 @@ def ingest_nodes(parts: DataFrame, names: list[str] | None = None) -> DataFrame:
     xml = F.col("part").rlike(r"(?i)\.(xml|rels)$")
     if names is not None:
         xml = xml & F.col("part").rlike("^(" + "|".join(names) + ")$")
-    return parse_parts(parts.where(xml))
+    return parse_parts(parts.where(xml), places)
 
 
 def accepted(nodes: DataFrame) -> DataFrame:
