@@ -44,6 +44,8 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
 SHINGLE_WORDS = 5
+#: Bytes of text handled together: registers and shingles of a block take some hundred times as much.
+BLOCK_BYTES = 1 << 20
 #: Elements of multisets that a tile of a bucket holds.
 TILE_ELEMENTS = 1 << 21
 #: Columns of a tile's matrix at a time.
@@ -136,7 +138,7 @@ def described(docs: DataFrame, key: str, text: str, row: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK_BYTES):
             texts = batch.num_rows
             text_of, values, weights = bags(batch.column("text"))
             least = signatures(text_of, values, weights, texts)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.lineage import stored
+from scriptorium.llm.rows import unused
 from scriptorium.llm.tables import documents, remainder, table
 from scriptorium.llm.words import Words, blocks, split, text_bytes
 
@@ -428,7 +429,8 @@ def scores(
 
 def without_toxic(docs: DataFrame, fitted: Fitted, text: str = "text") -> DataFrame:
     """``docs`` without those with a score of 0.5 or more."""
-    return scores(docs, fitted, text, out="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    own = unused(docs.columns, "toxicity")
+    return scores(docs, fitted, text, out=own).where(F.col(own) < 0.5).drop(own)
 
 
 def learnt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
