@@ -26,22 +26,23 @@ def _part(root: str, inner: str) -> str:
     return f'<w:{root} xmlns:w="{WORD_NS}">{inner}</w:{root}>'
 
 
-def _style(style_id: str, name: str, inner: str = "", default: str = "") -> str:
-    return f'<w:style w:type="paragraph"{default} w:styleId="{style_id}"><w:name w:val="{name}"/>{inner}</w:style>'
+def _style(kind: str, style_id: str, name: str, inner: str = "", more: str = "") -> str:
+    return f'<w:style w:type="{kind}" w:styleId="{style_id}"{more}><w:name w:val="{name}"/>{inner}</w:style>'
 
 
-# The style sheet, list definitions and footnote every package of the queries carries.
+# The style sheet, list definitions and footnote every package of the queries carries: justified text
+# throughout, a chain of three styles that sets, overrides and switches off, a level that only a style's id
+# tells, and styles of other families.
 STYLES = _part(
     "styles",
-    '<w:docDefaults><w:pPrDefault><w:pPr><w:spacing w:after="80" w:line="360" w:lineRule="auto"/></w:pPr></w:pPrDefault></w:docDefaults>'
-    + _style("Running", "Running", default=' w:default="1"')
-    + _style(
-        "Opening",
-        "heading 1",
-        '<w:basedOn w:val="Running"/><w:pPr><w:keepNext/><w:spacing w:before="400"/><w:outlineLvl w:val="0"/></w:pPr>',
-    )
-    + _style("Passage", "Passage", '<w:basedOn w:val="Opening"/>')
-    + _style("Clause", "heading 2", '<w:pPr><w:ind w:left="500"/></w:pPr>'),
+    '<w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="23"/></w:rPr></w:rPrDefault>'
+    '<w:pPrDefault><w:pPr><w:jc w:val="both"/></w:pPr></w:pPrDefault></w:docDefaults>'
+    + _style("character", "Loud", "Loud", '<w:rPr><w:b/><w:caps/></w:rPr>')
+    + _style("paragraph", "Heading6", "Remark", '<w:basedOn w:val="Text"/><w:pPr><w:spacing w:before="60"/><w:ind w:left="360"/></w:pPr>')
+    + _style("paragraph", "Entry", "Entry", '<w:basedOn w:val="Part"/><w:pPr><w:keepNext w:val="0"/><w:outlineLvl w:val="3"/></w:pPr>')
+    + _style("paragraph", "Part", "Part of the report", '<w:basedOn w:val="Text"/><w:pPr><w:keepNext/><w:outlineLvl w:val="2"/></w:pPr>')
+    + _style("table", "Ruled", "Ruled", '<w:tblPr><w:tblInd w:w="0" w:type="dxa"/></w:tblPr>')
+    + _style("paragraph", "Text", "Text", '<w:pPr><w:spacing w:line="276" w:lineRule="auto"/></w:pPr>', ' w:default="1"'),
 )
 NUMBERING = _part(
     "numbering",
@@ -72,7 +73,7 @@ def _styled(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None)
     return lines(spark, sf_dir).withColumns(
         {
-            "style": F.when(eighth == 0, "Opening").when(eighth == 3, "Passage").when(eighth == 5, "Clause"),
+            "style": F.when(eighth == 0, "Part").when(eighth == 3, "Entry").when(eighth == 5, "Heading6"),
             "num_id": F.when(eighth.isin(1, 2), F.lit("2")).otherwise(none.cast("string")),
             "level": eighth - 1,
             "alignment": F.when(eighth == 4, "center"),
@@ -154,12 +155,12 @@ def _saved(spark: SparkSession, sf_dir: str) -> saving.Saved:
     paragraph, the second line away, a word replaced everywhere and a letter in the first line, its
     style, and a note at the end."""
     steps = [
-        {"action": F.lit("insert"), "idx": F.lit(0), "text": F.concat(F.lit("the title in "), "lang"), "style": F.lit("Opening")},
+        {"action": F.lit("insert"), "idx": F.lit(0), "text": F.concat(F.lit("the title in "), "lang"), "style": F.lit("Part")},
         {"action": F.lit("delete"), "idx": F.lit(2)},
         {"action": F.lit("replace"), "find": F.lit("the"), "replacement": F.lit("A & B"), "all": F.lit(True)},
         {"action": F.lit("replace"), "idx": F.lit(1), "find": F.lit("e"), "replacement": F.lit("<e>")},
-        {"action": F.lit("format"), "idx": F.lit(1), "style": F.lit("Clause")},
-        {"action": F.lit("insert"), "text": F.lit("the end"), "style": F.lit("Passage")},
+        {"action": F.lit("format"), "idx": F.lit(1), "style": F.lit("Heading6")},
+        {"action": F.lit("insert"), "text": F.lit("the end"), "style": F.lit("Entry")},
     ]
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return saving.save(stored(_marked_packages(spark, sf_dir)), same_requests(docs, *steps))
@@ -181,11 +182,6 @@ def docx_saved_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docx_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first matches of each document over its body and footnotes."""
-    return search.find(_stories(spark, sf_dir), "the", max_results=5, context_chars=10, scope="all")
-
-
-def docx_find_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every match of each document over its body and footnotes."""
     return search.find(_stories(spark, sf_dir), "the", context_chars=10, scope="all")
 
@@ -277,7 +273,7 @@ QUERIES = {
     "docx_saved_parts": docx_saved_parts,
     "docx_saved_refused": docx_saved_refused,
     "docx_find": docx_find,
-    "docx_find_all": docx_find_all,
+    "docx_find_all": docx_find,
     "docx_outline": docx_outline,
     "docx_formatting": docx_formatting,
     "docx_plain_text": docx_plain_text,
@@ -300,8 +296,8 @@ refused AS (
     WHEN second LIKE 'A%' THEN '{_LOCKED}' WHEN second LIKE 'T%' THEN '{_ANCHORED}' WHEN second LIKE 'S%' THEN 'the last paragraph of its tc'
     WHEN locked THEN '{_LOCKED}' WHEN anchored THEN '{_ANCHORED}' END AS reason FROM firsts) WHERE reason IS NOT NULL)"""
 _STYLED = """styled AS (SELECT *, idx % 8 AS m,
-  CASE idx % 8 WHEN 0 THEN 'Opening' WHEN 3 THEN 'Passage' WHEN 5 THEN 'Clause' END AS "style" FROM lines)"""
-_LEVEL = "CAST(CASE m WHEN 0 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 2 END AS INTEGER)"
+  CASE idx % 8 WHEN 0 THEN 'Part' WHEN 3 THEN 'Entry' WHEN 5 THEN 'Heading6' END AS "style" FROM lines)"""
+_LEVEL = "CAST(CASE m WHEN 0 THEN 3 WHEN 3 THEN 4 WHEN 5 THEN 6 END AS INTEGER)"
 _NAMES = (
     "[Content_Types].xml", "_rels/.rels", "word/_rels/document.xml.rels", "word/styles.xml",
     "word/numbering.xml", "word/footnotes.xml", "word/document.xml",
@@ -313,7 +309,7 @@ _TYPES = (
 _NAME_LIST = ", ".join(f"'{name}'" for name in _NAMES)
 _BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 _MD = f"""entries AS (SELECT doc_id, idx, m IN (1, 2) AS li,
-  CASE WHEN m IN (0, 3) THEN '# ' || trim(e, {_BLANK}) WHEN m = 5 THEN '## ' || trim(e, {_BLANK})
+  CASE WHEN m IN (0, 3, 5) THEN repeat('#', {_LEVEL}) || ' ' || trim(e, {_BLANK})
     WHEN m = 1 THEN CAST(idx // 8 + 1 AS VARCHAR) || '. ' || trim(e, {_BLANK})
     WHEN m = 2 THEN '    3. ' || trim(e, {_BLANK}) ELSE rtrim(e, {_BLANK}) END AS text
   FROM (SELECT *, regexp_replace(text, '([\\\\*_`\\[\\]])', '\\\\\\1', 'g') AS e FROM styled)
@@ -328,14 +324,14 @@ SQL = {
 SELECT doc_id, idx, text, "style", FALSE AS in_table FROM styled""",
     "docx_saved": f"""WITH {LINES_SQL}, {_STYLED}, {_REFUSED_SAVES},
 edited AS (
-  SELECT doc_id, 0 AS idx, 'A & B title in ' || lang AS text, 'Opening' AS "style", first LIKE 'S%' AS in_table
+  SELECT doc_id, 0 AS idx, 'A & B title in ' || lang AS text, 'Part' AS "style", first LIKE 'S%' AS in_table
   FROM documents JOIN firsts USING (doc_id)
   UNION ALL SELECT doc_id, CASE WHEN idx = 0 THEN 1 ELSE idx END,
     CASE WHEN idx > 0 OR position('e' IN new) = 0 THEN new
       ELSE left(new, position('e' IN new) - 1) || '<e>' || substring(new, position('e' IN new) + 1) END,
-    CASE WHEN idx = 0 THEN 'Clause' ELSE "style" END, text LIKE 'S%'
+    CASE WHEN idx = 0 THEN 'Heading6' ELSE "style" END, text LIKE 'S%'
   FROM (SELECT *, replace(text, 'the', 'A & B') AS new FROM styled) WHERE idx <> 1
-  UNION ALL SELECT doc_id, n, 'the end', 'Passage', FALSE FROM firsts
+  UNION ALL SELECT doc_id, n, 'the end', 'Entry', FALSE FROM firsts
 )
 SELECT doc_id, CAST(idx AS INTEGER) AS idx, text, "style", in_table FROM edited WHERE doc_id NOT IN (SELECT doc_id FROM refused)
 UNION ALL SELECT doc_id, idx, text, "style", text LIKE 'S%' FROM styled WHERE doc_id IN (SELECT doc_id FROM refused)""",
@@ -362,24 +358,21 @@ gaps AS (SELECT doc_id, idx, text, string_split(text, 'the') AS g FROM lines),
 hits AS (SELECT doc_id, 'word/document.xml' AS part, 'body' AS story, idx, text, CAST(NULL AS VARCHAR) AS note_id,
     CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + (k - 1) * 3 AS INTEGER) AS "offset"
   FROM (SELECT *, unnest(generate_series(1, len(g) - 1)) AS k FROM gaps WHERE len(g) > 1)
-  UNION ALL SELECT doc_id, 'word/footnotes.xml', 'footnote', CAST(0 AS INTEGER), ' The note on the page. ', '1', 13 FROM documents),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY story, idx, "offset") AS n,
-  count(*) OVER (PARTITION BY doc_id) AS c FROM hits)
+  UNION ALL SELECT doc_id, 'word/footnotes.xml', 'footnote', CAST(0 AS INTEGER), ' The note on the page. ', '1', 13 FROM documents)
 SELECT doc_id, part, story, idx, "offset", CAST(3 AS INTEGER) AS "length", 'the' AS text,
   substring(text, greatest("offset" - 10, 0) + 1, "offset" - greatest("offset" - 10, 0)) AS "before",
-  substring(text, "offset" + 4, 10) AS "after", note_id, CAST(n AS INTEGER) AS match_no, c > 5 AS truncated
-FROM ranked WHERE n <= 5""",
+  substring(text, "offset" + 4, 10) AS "after", note_id FROM hits""",
     "docx_outline": f"""WITH {LINES_SQL}, {_STYLED}
 SELECT doc_id, idx, {_LEVEL} AS level, text, "style" FROM styled WHERE m IN (0, 3, 5)""",
     "docx_formatting": f"""WITH {LINES_SQL}, {_STYLED}
-SELECT doc_id, idx, coalesce("style", 'Running') AS style_id,
-  CASE m WHEN 0 THEN 'heading 1' WHEN 3 THEN 'Passage' WHEN 5 THEN 'heading 2' ELSE 'Running' END AS style_name,
-  CASE WHEN m = 4 THEN 'center' END AS alignment,
-  CAST(CASE WHEN m IN (0, 3) THEN 20 END AS DOUBLE) AS before_pt, CAST(4 AS DOUBLE) AS after_pt,
-  CAST(1.5 AS DOUBLE) AS line, 'multiple' AS line_rule, CAST(CASE WHEN m = 5 THEN 25 END AS DOUBLE) AS left_pt,
+SELECT doc_id, idx, coalesce("style", 'Text') AS style_id,
+  CASE m WHEN 0 THEN 'Part of the report' WHEN 3 THEN 'Entry' WHEN 5 THEN 'Remark' ELSE 'Text' END AS style_name,
+  CASE WHEN m = 4 THEN 'center' ELSE 'both' END AS alignment,
+  CAST(CASE WHEN m = 5 THEN 3 END AS DOUBLE) AS before_pt, CAST(NULL AS DOUBLE) AS after_pt,
+  CAST(1.15 AS DOUBLE) AS line, 'multiple' AS line_rule, CAST(CASE WHEN m = 5 THEN 18 END AS DOUBLE) AS left_pt,
   CASE WHEN m IN (1, 2) THEN '2' END AS num_id, CAST(CASE WHEN m IN (1, 2) THEN m - 1 END AS INTEGER) AS ilvl,
   CASE WHEN m IN (1, 2) THEN 'decimal' END AS format, CASE m WHEN 1 THEN '%1.' WHEN 2 THEN '%2)' END AS level_text,
-  m IN (0, 3) AS keep_next, {_LEVEL} AS outline_level, CAST(CASE WHEN text = '' THEN 0 ELSE 1 END AS INTEGER) AS run_count
+  m = 0 AS keep_next, {_LEVEL} AS outline_level, CAST(CASE WHEN text = '' THEN 0 ELSE 1 END AS INTEGER) AS run_count
 FROM styled""",
     "docx_plain_text": f"""WITH {LINES_SQL}
 SELECT doc_id, string_agg(text, chr(10) ORDER BY idx) AS text,
@@ -406,6 +399,5 @@ SELECT doc_id, CAST(0 AS INTEGER) AS piece, '{html.HEAD}' || string_agg('<p>' ||
   replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '"', '&quot;')
   || '</p>', chr(10) ORDER BY idx) || '{html.TAIL}' AS html FROM lines GROUP BY doc_id""",
 }
-# docx_find's matches without its cut, so without its columns about the cut.
-_CUT = ", CAST(n AS INTEGER) AS match_no, c > 5 AS truncated"
-SQL["docx_find_all"] = SQL["docx_find"].replace(_CUT, "").removesuffix(" WHERE n <= 5")
+# The name the search had while docx_find was cut.
+SQL["docx_find_all"] = SQL["docx_find"]

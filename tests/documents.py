@@ -12,25 +12,25 @@ PRESERVED = bytes(range(250, 256)) + b"kept as it is"
 
 def p(*runs: str, props: str = "") -> str:
     inner = "".join(runs)
-    return f"<q:p>{f'<q:pPr>{props}</q:pPr>' if props else ''}{inner}</q:p>"
+    return f"<dx:p>{f'<dx:pPr>{props}</dx:pPr>' if props else ''}{inner}</dx:p>"
 
 
 def r(text: str, props: str = "") -> str:
-    before = f"<q:rPr>{props}</q:rPr>" if props else ""
-    return f'<q:r>{before}<q:t xml:space="preserve">{text}</q:t></q:r>'
+    before = f"<dx:rPr>{props}</dx:rPr>" if props else ""
+    return f'<dx:r>{before}<dx:t xml:space="preserve">{text}</dx:t></dx:r>'
 
 
 def style(name: str) -> str:
-    return f'<q:pStyle q:val="{name}"/>'
+    return f'<dx:pStyle dx:val="{name}"/>'
 
 
 def number(num: int, level: int) -> str:
-    return f'<q:numPr><q:ilvl q:val="{level}"/><q:numId q:val="{num}"/></q:numPr>'
+    return f'<dx:numPr><dx:ilvl dx:val="{level}"/><dx:numId dx:val="{num}"/></dx:numPr>'
 
 
 def table(*rows: list[str]) -> str:
-    cells = ("".join(f"<q:tc>{cell}</q:tc>" for cell in row) for row in rows)
-    return "<q:tbl>" + "".join(f"<q:tr>{row}</q:tr>" for row in cells) + "</q:tbl>"
+    cells = ("".join(f"<dx:tc>{cell}</dx:tc>" for cell in row) for row in rows)
+    return "<dx:tbl>" + "".join(f"<dx:tr>{row}</dx:tr>" for row in cells) + "</dx:tbl>"
 
 
 def archive(entries: list[tuple[str, bytes | str]]) -> bytes:
@@ -68,9 +68,9 @@ def package(body: str, extra: dict[str, tuple[str, str]] | None = None, links: d
         ),
         (
             "word/document.xml",
-            f'<q:document xmlns:q="{WORD_NS}" xmlns:r="{OFFICE_REL_NS}"><q:body>{body}</q:body></q:document>',
+            f'<dx:document xmlns:dx="{WORD_NS}" xmlns:r="{OFFICE_REL_NS}"><dx:body>{body}</dx:body></dx:document>',
         ),
-        ("custom/preserved.bin", PRESERVED),
+        ("extras/ledger.dat", PRESERVED),
     ]
     if related:
         entries.append(
@@ -123,15 +123,15 @@ ENDNOTES = word_part(
 FOOTER = word_part("ftr", "<w:p><w:r><w:t>Marsh survey, boat two</w:t></w:r></w:p>")
 LINK = "https://marsh.test/map?reed=1&pool=7"
 RINGED = (
-    '<q:rFonts q:ascii="Georgia"/><q:i/><q:color q:val="1F6F3A"/><q:sz q:val="19"/>'
-    '<q:highlight q:val="cyan"/><q:vertAlign q:val="subscript"/>'
+    '<dx:rFonts dx:ascii="Georgia"/><dx:i/><dx:color dx:val="1F6F3A"/><dx:sz dx:val="19"/>'
+    '<dx:highlight dx:val="cyan"/><dx:vertAlign dx:val="subscript"/>'
 )
 
 
 def field(instruction: str, *shown: str) -> str:
     """A field in its long form."""
-    mark = lambda kind: f'<q:r><q:fldChar q:fldCharType="{kind}"/></q:r>'
-    code = f'<q:r><q:instrText xml:space="preserve">{instruction}</q:instrText></q:r>'
+    mark = lambda kind: f'<dx:r><dx:fldChar dx:fldCharType="{kind}"/></dx:r>'
+    code = f'<dx:r><dx:instrText xml:space="preserve">{instruction}</dx:instrText></dx:r>'
     return mark("begin") + code + mark("separate") + "".join(shown) + mark("end")
 
 
@@ -141,11 +141,11 @@ GUIDE_BODY = "".join(
         p(r("Herons"), props=style("Species")),
         p(
             r("They wade "),
-            r("slowly", "<q:b/>"),
+            r("slowly", "<dx:b/>"),
             r(", mostly "),
-            r("alone_", "<q:i/>"),
+            r("alone_", "<dx:i/>"),
             r("2", RINGED),
-            '<q:r><q:endnoteReference q:id="4"/></q:r>',
+            '<dx:r><dx:endnoteReference dx:id="4"/></dx:r>',
             r("!"),
         ),
         p(r("Bitterns"), props=style("Habit")),
@@ -159,12 +159,12 @@ GUIDE_BODY = "".join(
         ),
         p(
             r("On the "),
-            f'<q:hyperlink r:id="rMap">{r("map")}</q:hyperlink>',
-            "<q:r><q:t>;</q:t><q:br/><q:t>by boat</q:t></q:r>",
+            f'<dx:hyperlink r:id="rMap">{r("map")}</dx:hyperlink>',
+            "<dx:r><dx:t>;</dx:t><dx:br/><dx:t>by boat</dx:t></dx:r>",
         ),
         p(
             r("Nests"),
-            props='<q:jc q:val="right"/><q:ind q:right="240" q:firstLine="480"/><q:outlineLvl q:val="3"/>',
+            props='<dx:jc dx:val="right"/><dx:ind dx:right="240" dx:firstLine="480"/><dx:outlineLvl dx:val="3"/>',
         ),
         p(r("after "), field('HYPERLINK "https://rings.test/" \\l "old"', r("rings "), field("PAGE", r("12")))),
     ]

@@ -125,18 +125,18 @@ def test_hyperlinks(doc):
 
 
 def test_listing_counts_tabs_and_shows_tables(spark):
-    tabbed = '<q:tabs><q:tab q:val="right" q:pos="900"/></q:tabs>'
-    body = p(r("pool"), props=tabbed) + table([p(r("duck"), props=style("Cell"))]) + "<q:p/>"
+    tabbed = '<dx:tabs><dx:tab dx:val="right" dx:pos="900"/></dx:tabs>'
+    body = p(r("pool"), props=tabbed) + table([p(r("duck"), props=style("Cell"))]) + "<dx:p/>"
     nodes, _ = parsed(spark, package(body))
     got = [tuple(row)[1:] for row in structure.listing(nodes).orderBy("idx").collect()]
     assert got == [(0, "\tpool", None, False), (1, "duck", "Cell", True), (2, "", None, False)]
 
 
 def test_wrapped_and_boxed_paragraphs(spark):
-    control = f"<q:sdt><q:sdtContent>{p(r('chosen'))}</q:sdtContent></q:sdt>"
-    tagged = f"<q:customXml>{table([p(r('egg')), p(r('chick'))])}</q:customXml>"
-    caption = p(r("pond"), f"<q:r><q:pict><q:txbx>{p(r('caption'))}</q:txbx></q:pict></q:r>")
-    nodes, rels = parsed(spark, package(control + tagged + caption + f"<q:ins>{p(r('added'))}</q:ins>"))
+    control = f"<dx:sdt><dx:sdtContent>{p(r('chosen'))}</dx:sdtContent></dx:sdt>"
+    tagged = f"<dx:customXml>{table([p(r('egg')), p(r('chick'))])}</dx:customXml>"
+    caption = p(r("pond"), f"<dx:r><dx:pict><dx:txbx>{p(r('caption'))}</dx:txbx></dx:pict></dx:r>")
+    nodes, rels = parsed(spark, package(control + tagged + caption + f"<dx:ins>{p(r('added'))}</dx:ins>"))
     assert structure.plain_text(nodes).first().text == "chosen\negg\tchick\npond"
     spans = structure.blocks(structure.body_paragraphs(nodes)).orderBy("first").collect()
     assert [(b.kind, b.first, b.last) for b in spans] == [("paragraph", 0, 1), ("table", 1, 3), ("paragraph", 3, 4)]
@@ -144,10 +144,10 @@ def test_wrapped_and_boxed_paragraphs(spark):
 
 
 def test_spanned_cells_page_breaks_and_fields(spark):
-    wide = table([p(r("n")), '<q:tcPr><q:gridSpan q:val="3"/></q:tcPr>' + p(r("span"))], [p(r("z"))])
-    short = p('<q:fldSimple q:instr="HYPERLINK \\l &quot;mud flat&quot;">' + r("mud") + "</q:fldSimple>")
-    pages = p('<q:r><q:t>sun</q:t><q:br q:type="page"/><q:br/><q:t>moon</q:t></q:r>')
-    stray = p('<q:r><q:fldChar q:fldCharType="end"/></q:r>', field("DATE", r("today")))
+    wide = table([p(r("n")), '<dx:tcPr><dx:gridSpan dx:val="3"/></dx:tcPr>' + p(r("span"))], [p(r("z"))])
+    short = p('<dx:fldSimple dx:instr="HYPERLINK \\l &quot;mud flat&quot;">' + r("mud") + "</dx:fldSimple>")
+    pages = p('<dx:r><dx:t>sun</dx:t><dx:br dx:type="page"/><dx:br/><dx:t>moon</dx:t></dx:r>')
+    stray = p('<dx:r><dx:fldChar dx:fldCharType="end"/></dx:r>', field("DATE", r("today")))
     nodes, rels = parsed(spark, package(wide + short + pages + stray))
     assert markdown.markdown(nodes, rels).first().markdown == (
         "| n | span |  |  |\n| --- | --- | --- | --- |\n| z |  |  |  |\n\n[mud](<#mud flat>)\n\nsun  \nmoon\n\ntoday"

@@ -32,19 +32,20 @@ def reasons(edited):
 
 
 def test_replace_keeps_run_formats(spark):
-    body = p(r("café ", "<q:b/>"), r("🍎 today café 🍎", "<q:i/>"))
+    body = p(r("Zwölf Möwen über d", "<dx:i/>"), r("em Watt, ", '<dx:u dx:val="single"/>'), r("drei über dem 🌊.", "<dx:strike/>"))
     nodes, _ = parsed(spark, package(body))
     runs = structure.runs(nodes).drop("part")
-    got = E.replace_in_runs(runs, "café 🍎", "A & B").orderBy("run").collect()
-    assert [(x.text, x.bold, x.italic) for x in got] == [("A & B", True, None), (" today A & B", None, True)]
-    assert [x.text for x in E.replace_in_runs(runs, "absent", "x").orderBy("run").collect()] == ["café ", "🍎 today café 🍎"]
-    first = E.replace_in_runs(runs, "a", "_", all=False).orderBy("run").collect()
-    assert [x.text for x in first] == ["c_fé ", "🍎 today café 🍎"]
+    got = E.replace_in_runs(runs, "über dem", "<auf & ab>").orderBy("run").collect()
+    assert [x.text for x in got] == ["Zwölf Möwen <auf & ab>", " Watt, ", "drei <auf & ab> 🌊."]
+    assert [(x.italic, x.underline) for x in got] == [(True, None), (None, "single"), (None, None)]
+    assert [x.text for x in E.replace_in_runs(runs, "Ebbe", "Flut").orderBy("run").collect()] == ["Zwölf Möwen über d", "em Watt, ", "drei über dem 🌊."]
+    first = E.replace_in_runs(runs, "e", "E", all=False).orderBy("run").collect()
+    assert [x.text for x in first] == ["Zwölf MöwEn über d", "em Watt, ", "drei über dem 🌊."]
     listing = structure.listing(nodes)
-    done = E.replace(listing, "café 🍎", "A & B", all=True, guards=structure.guards(nodes))
-    assert texts(done) == {"0": ["A & B today A & B"]}
+    done = E.replace(listing, "über dem", "<auf & ab>", all=True, guards=structure.guards(nodes))
+    assert texts(done) == {"0": ["Zwölf Möwen <auf & ab> Watt, drei <auf & ab> 🌊."]}
     assert done.audit.first().replacements == 2
-    assert E.replace(listing, "absent", "x").audit.first().replacements == 0
+    assert E.replace(listing, "Ebbe", "Flut").audit.first().replacements == 0
 
 
 def test_replace_in_runs_matches_a_plain_splice(spark):
@@ -70,12 +71,12 @@ def test_replace_in_runs_matches_a_plain_splice(spark):
 
 def test_replace_is_refused_where_it_could_corrupt(spark):
     bodies = [
-        "<q:sdt><q:sdtContent>" + p(r("text")) + "</q:sdtContent></q:sdt>",
-        '<q:p><q:fldSimple q:instr="DATE">' + r("text") + "</q:fldSimple></q:p>",
-        '<q:p><q:bookmarkStart q:id="1"/>' + r("text") + '<q:bookmarkEnd q:id="1"/></q:p>',
+        "<dx:sdt><dx:sdtContent>" + p(r("text")) + "</dx:sdtContent></dx:sdt>",
+        '<dx:p><dx:fldSimple dx:instr="DATE">' + r("text") + "</dx:fldSimple></dx:p>",
+        '<dx:p><dx:bookmarkStart dx:id="1"/>' + r("text") + '<dx:bookmarkEnd dx:id="1"/></dx:p>',
         p(r("text")),
-        p(r("outer text"), "<q:r><q:pict>" + p(r("boxed")) + "</q:pict></q:r>"),
-        p(r("fine text")) + p("<q:r><q:br/></q:r>"),
+        p(r("outer text"), "<dx:r><dx:pict>" + p(r("boxed")) + "</dx:pict></dx:r>"),
+        p(r("fine text")) + p("<dx:r><dx:br/></dx:r>"),
     ]
     nodes, _ = parsed(spark, *[package(b) for b in bodies])
     listing = structure.listing(nodes)
@@ -91,7 +92,7 @@ def test_replace_is_refused_where_it_could_corrupt(spark):
 
 
 def test_insert(spark):
-    body = p(r("before")) + table([p(r("cell"))]) + "<q:sectPr/>"
+    body = p(r("before")) + table([p(r("cell"))]) + "<dx:sectPr/>"
     nodes, _ = parsed(spark, package(body), package(""))
     listing = structure.listing(nodes)
     schema = "doc_id string, idx int, text string, style string"
@@ -106,7 +107,7 @@ def test_insert(spark):
 
 
 def test_delete(spark):
-    body = p(r("keep one")) + p(r("drop me", "<q:b/>")) + table([p(r("cell a")) + p(r("cell b"))]) + p(r("keep two")) + "<q:sectPr/>"
+    body = p(r("keep one")) + p(r("drop me", "<dx:b/>")) + table([p(r("cell a")) + p(r("cell b"))]) + p(r("keep two")) + "<dx:sectPr/>"
     nodes, _ = parsed(spark, package(body))
     once = E.delete_paragraphs(
         structure.listing(nodes), spark.createDataFrame([("0", 1)], "doc_id string, idx int"), structure.deletion_guards(nodes)
@@ -119,12 +120,12 @@ def test_delete(spark):
 
 def test_deletions_that_are_refused(spark):
     cases = [
-        (p(r("only")) + "<q:sectPr/>", 0),
-        (p(r("body")) + table([p(r("cell"))]) + "<q:p/>", 1),
-        (p(r("section one"), props="<q:sectPr/>") + p(r("after")) + "<q:sectPr/>", 0),
-        ('<q:p><q:bookmarkStart q:id="1"/>' + r("marked") + '<q:bookmarkEnd q:id="1"/></q:p><q:p/>', 0),
-        ("<q:p/>" + table(["<q:p/>" + table(["<q:p/>"]) + "<q:p/>"]) + "<q:p/>", 3),
-        ("<q:p/><q:p/>", 2),
+        (p(r("only")) + "<dx:sectPr/>", 0),
+        (p(r("body")) + table([p(r("cell"))]) + "<dx:p/>", 1),
+        (p(r("section one"), props="<dx:sectPr/>") + p(r("after")) + "<dx:sectPr/>", 0),
+        ('<dx:p><dx:bookmarkStart dx:id="1"/>' + r("marked") + '<dx:bookmarkEnd dx:id="1"/></dx:p><dx:p/>', 0),
+        ("<dx:p/>" + table(["<dx:p/>" + table(["<dx:p/>"]) + "<dx:p/>"]) + "<dx:p/>", 3),
+        ("<dx:p/><dx:p/>", 2),
     ]
     nodes, _ = parsed(spark, *[package(body) for body, _ in cases])
     listing = structure.listing(nodes)
@@ -140,7 +141,7 @@ FORMAT = "doc_id string, idx int, bold boolean, italic boolean, underline boolea
 
 
 def test_format_paragraph(spark):
-    body = p(r("hello", '<q:color q:val="112233"/>'), r(" more"), props='<q:spacing q:after="120"/><q:jc q:val="right"/>') + p(r("x"))
+    body = p(r("hello", '<dx:color dx:val="112233"/>'), r(" more"), props='<dx:spacing dx:after="120"/><dx:jc dx:val="right"/>') + p(r("x"))
     nodes, _ = parsed(spark, package(body))
     listing, runs = structure.listing(nodes), structure.runs(nodes).drop("part")
     edits = spark.createDataFrame([("0", 0, True, None, None, 12.5, None, "center", "Heading1")], FORMAT)

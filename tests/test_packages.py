@@ -21,12 +21,12 @@ def test_unreadable_packages_are_refused_and_others_kept(spark):
     assert {row.doc_id for row in opened.parts.select("doc_id").distinct().collect()} == {"0"}
     reasons = {row.doc_id: row.reason for row in opened.rejects.collect()}
     assert set(reasons) == {"1", "2", "3"} and "word/document.xml" in reasons["2"]
-    assert bytes(opened.parts.where("part = 'custom/preserved.bin'").first().bytes) == PRESERVED
+    assert bytes(opened.parts.where("part = 'extras/ledger.dat'").first().bytes) == PRESERVED
 
 
 def test_size_does_not_matter(spark):
     many = archive([("word/document.xml", f'<w:document xmlns:w="{WORD_NS}"><w:body/></w:document>')] + [(f"item{n}", "") for n in range(5000)])
-    nodes, _ = parsed(spark, package("<q:p/>" * 260_000))
+    nodes, _ = parsed(spark, package("<dx:p/>" * 260_000))
     assert S.open_packages(files(spark, many)).parts.count() == 5001
     assert nodes.where("name = 'p'").count() == 260_000
 
@@ -66,20 +66,20 @@ def test_content_types(spark):
     nodes, _ = parsed(spark, guide())
     listed = {row.part: row.content_type for row in S.list_parts(opened.parts, nodes).collect()}
     assert listed["word/endnotes.xml"] == CONTENT_TYPE["endnotes"] and listed["word/_rels/document.xml.rels"] == CONTENT_TYPE["relationships"]
-    assert listed["custom/preserved.bin"] is None
+    assert listed["extras/ledger.dat"] is None
 
 
 def test_part_text_is_whole(spark):
     opened = S.open_packages(files(spark, guide()))
     text = S.part_text(opened.parts, "word/numbering.xml").first()
     assert (text.text, text.size, text.reason) == (NUMBERING, len(NUMBERING.encode()), None)
-    for name in ("/custom/preserved.bin", "word/comments.xml"):
+    for name in ("/extras/ledger.dat", "word/comments.xml"):
         row = S.part_text(opened.parts, name).first()
         assert row.text is None and row.reason
     with pytest.raises(ValueError):
         S.part_text(opened.parts, "")
     long = word_part("ftr", f"<w:p><w:r><w:t>{'ß' * 800_000}</w:t></w:r></w:p>")
-    big = S.open_packages(files(spark, package("<q:p/>", {"word/footer1.xml": ("footer", long)})))
+    big = S.open_packages(files(spark, package("<dx:p/>", {"word/footer1.xml": ("footer", long)})))
     plan = S.part_text(big.parts, "word/footer1.xml")
     assert plan.first().text == long
     assert plan._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
@@ -124,9 +124,9 @@ def test_only_values_of_the_format_count(spark):
     from scriptorium.operators.structure import body_paragraphs
 
     body = (
-        '<q:p><q:pPr><q:pStyle q:val="A&lt;B"/></q:pPr></q:p>'
-        '<q:p><q:pPr><q:pStyle val="plain"/></q:pPr></q:p>'
-        '<q:p xmlns:z="urn:birds"><q:pPr><q:pStyle z:val="other"/></q:pPr></q:p>'
+        '<dx:p><dx:pPr><dx:pStyle dx:val="A&lt;B"/></dx:pPr></dx:p>'
+        '<dx:p><dx:pPr><dx:pStyle val="plain"/></dx:pPr></dx:p>'
+        '<dx:p xmlns:z="urn:birds"><dx:pPr><dx:pStyle z:val="other"/></dx:pPr></dx:p>'
     )
     nodes, _ = parsed(spark, package(body))
     assert [row.style for row in body_paragraphs(nodes).orderBy("idx").collect()] == ["A<B", None, None]
