@@ -206,18 +206,25 @@ def phrase_starts(postings: Postings, window: np.ndarray, rarity: np.ndarray) ->
     return starts[starts >= 0]
 
 
-def near_anchors(postings: Postings, window: np.ndarray, rarity: np.ndarray, reach: int) -> np.ndarray:
-    """Where the rarest term has every other term of ``window`` within ``reach`` words."""
+def near_anchors(
+    postings: Postings, window: np.ndarray, rarity: np.ndarray, reach: int, firsts: np.ndarray, ends: np.ndarray
+) -> np.ndarray:
+    """Where the rarest term has every other term of ``window`` within ``reach`` words of the same document.
+
+    ``firsts`` and ``ends`` bound the documents of the segment.
+    """
     order = np.argsort(rarity[window], kind="stable")
     anchors = postings.list_of(window[order[0]])
     for place in order[1:]:
         if not len(anchors):
             break
-        other = postings.list_of(window[place])
-        after = np.minimum(np.searchsorted(other, anchors), len(other) - 1)
-        before = np.maximum(after - 1, 0)
-        near = np.minimum(np.abs(other[after] - anchors), np.abs(other[before] - anchors))
-        anchors = anchors[near <= reach]
+        document = np.searchsorted(firsts, anchors, side="right") - 1
+        other = np.concatenate([[-1 << 40], postings.list_of(window[place]), [1 << 40]])
+        at = np.searchsorted(other, anchors)
+        before, after = other[at - 1], other[at]
+        near = (before >= firsts[document]) & (anchors - before <= reach)
+        near |= (after < ends[document]) & (after - anchors <= reach)
+        anchors = anchors[near]
     return anchors
 
 
@@ -256,7 +263,7 @@ def matches(index: DataFrame, query: Query, proximity: int | None = None) -> Dat
         for w in np.flatnonzero(np.logical_and.reduceat(postings.present[flat], begins)):
             spans = [(phrase_starts(postings, windows[w], rarity), sizes[w])]
             if proximity is not None:
-                spans.append((near_anchors(postings, windows[w], rarity, proximity), 1))
+                spans.append((near_anchors(postings, windows[w], rarity, proximity, firsts, ends), 1))
             for starts, length in spans:
                 places = np.searchsorted(firsts, starts, side="right") - 1
                 whole = starts + length <= ends[places]

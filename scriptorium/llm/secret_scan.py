@@ -3,8 +3,9 @@
 The fixed kinds are assignments to names such as ``password``, access keys and long hexadecimal
 runs. Entropy adds spans of candidate strings: runs of one character class in which some window
 of ``WINDOW`` characters has at least the class's entropy. The window's counts change by one
-character in and one out, and so does the sum that its entropy is made of. A candidate that
-matches the allow list, such as a word of letters alone, is passed over; fixed kinds never are.
+character in and one out, and so does the sum that its entropy is made of. The allow list passes over
+candidates that are a word of letters or a number, and windows that overlap a placeholder, whatever
+else the candidate holds; fixed kinds are never passed over.
 
 Positions are code points from 0, ends exclusive. Running sums work in blocks, so that time is in
 proportion to the number of matches.
@@ -55,9 +56,10 @@ CLASSES = (
     CharacterClass("entropy_hex", rf"[0-9a-fA-F]{{{WINDOW},}}", 3.0),
     CharacterClass("entropy_base64", rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}", 3.85),
 )
-#: Candidates in which one of these is found are no secrets: words, numbers, placeholders and
-#: alphabets.
-ALLOWED = (r"^[A-Za-z_-]+$", r"^[0-9]+$", any_case("example"), any_case("0123456789"), any_case("abcdefghij"))
+#: Candidates that are one of these in whole are no secrets: words and numbers.
+ALLOWED = (r"^[A-Za-z_-]+$", r"^[0-9]+$")
+#: Placeholders and alphabets, in either case; windows that overlap one are passed over.
+PLACEHOLDERS = ("example", "0123456789", "abcdefghij")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, *(c.kind for c in CLASSES))
 BLOCK = 256
@@ -134,30 +136,47 @@ def dense_part(candidate: Column, least: float) -> Column:
 
     def walk(chars: Column) -> Column:
         def step(state: Column, at: Column) -> Column:
-            others = F.slice(chars, F.greatest(at - WINDOW + 2, F.lit(1)), F.least(at, F.lit(WINDOW - 1)))
             into, out = F.get(chars, at), F.get(chars, at - WINDOW)
 
-            def moved(rest: Column) -> Column:
-                count = lambda x: F.size(F.filter(rest, lambda c: c == x))
-                lost = F.when(at >= WINDOW, F.get(gain, count(out))).otherwise(F.lit(0.0))
-                return state.total - lost + F.get(gain, count(into))
-
-            def noted(total: Column) -> Column:
+            def left(held: Column) -> Column:
+                """The counts without the character that leaves, and the sum."""
+                now = F.element_at(held, out)
+                less = F.transform_values(held, lambda c, n: F.when(c == out, n - 1).otherwise(n))
+                return F.when(
+                    at >= WINDOW, F.struct(less.alias("held"), (state.total - F.get(gain, now - 1)).alias("total"))
+                ).otherwise(F.struct(held.alias("held"), state.total.alias("total")))
+
+            def entered(rest: Column) -> Column:
+                """The same with the character that comes."""
+                now = F.coalesce(F.try_element_at(rest.held, into), F.lit(0))
+                more = F.when(now > 0, F.transform_values(rest.held, lambda c, n: F.when(c == into, n + 1).otherwise(n))).otherwise(
+                    F.map_concat(F.map_filter(rest.held, lambda c, n: (n > 0) & (c != into)), F.create_map(into, F.lit(1)))
+                )
+                total = rest.total + F.get(gain, now)
                 dense = (at >= WINDOW - 1) & (total <= most)
                 return F.struct(
+                    more.alias("held"),
                     total.alias("total"),
                     F.when(dense & state.first.isNull(), at - WINDOW + 1).otherwise(state.first).alias("first"),
                     F.when(dense, at + 1).otherwise(state.last).alias("last"),
                 )
 
-            return let(let(others, moved), noted)
+            return let(left(state.held), entered)
 
-        start = F.struct(F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"))
+        empty = F.create_map().cast("map<string,int>")
+        start = F.struct(empty.alias("held"), F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"))
         return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), start, step)
 
     return let(F.split(candidate, ""), lambda chars: walk(F.slice(chars, 1, F.length(candidate))))
 
 
+def without_placeholders(text: Column, placeholders: Sequence[str]) -> Column:
+    """``text`` with blanks, which no candidate holds, in place of placeholders."""
+    for word in placeholders:
+        text = F.regexp_replace(text, any_case(word), " " * len(word))
+    return text
+
+
 def entropy_spans(text: Column, kind: CharacterClass, allowed: Sequence[str]) -> Column:
     """Spans of the candidates of a class that have a dense window and are not allowed."""
 
@@ -179,6 +198,7 @@ def scan(
     text: str = "text",
     classes: Sequence[CharacterClass] = CLASSES,
     allowed: Sequence[str] = ALLOWED,
+    placeholders: Sequence[str] = PLACEHOLDERS,
 ) -> DataFrame:
     """``(doc_id, spans)`` with spans ``(start, order, end)`` by start, then by kind as in KINDS."""
     value = F.col("text")
@@ -195,9 +215,10 @@ def scan(
         lambda s: s.isNotNull(),
     )
     kinds = [assigns, found(value, ACCESS, simple("access")), found(value, HEX, simple("hex"))]
-    kinds += [entropy_spans(value, c, allowed) for c in classes]
+    kinds += [entropy_spans(F.col("plain"), c, allowed) for c in classes]
     every = F.concat(*[F.coalesce(k.cast(SPAN), F.array().cast(SPAN)) for k in kinds])
     read = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    read = read.withColumn("plain", without_placeholders(F.col("text"), placeholders))
     return read.select("doc_id", F.array_sort(every).alias("spans"))
 
 
@@ -219,15 +240,20 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _matches_sql(kind: str, pattern: str, value_group: int = 0) -> str:
+def _matches_sql(kind: str, pattern: str, value_group: int = 0, text: str = "t") -> str:
     quoted = "'" + pattern.replace("'", "''") + "'"
     return f"""
 SELECT r, '{kind}' AS kind, {KINDS.index(kind)} AS o, m[i] AS m, g[i] AS g,
        list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS s
 FROM (SELECT r, m, g, p, unnest(range(1, len(m) + 1)) AS i
-      FROM (SELECT r, regexp_extract_all(t, {quoted}) AS m, regexp_extract_all(t, {quoted}, {value_group}) AS g,
-                   string_split_regex(t, {quoted}) AS p
-            FROM d WHERE regexp_matches(t, {quoted})))"""
+      FROM (SELECT r, regexp_extract_all({text}, {quoted}) AS m, regexp_extract_all({text}, {quoted}, {value_group}) AS g,
+                   string_split_regex({text}, {quoted}) AS p
+            FROM d WHERE regexp_matches({text}, {quoted})))"""
+
+
+_PLAIN_SQL = "t"
+for _word in PLACEHOLDERS:
+    _PLAIN_SQL = f"regexp_replace({_PLAIN_SQL}, '{any_case(_word)}', '{' ' * len(_word)}', 'g')"
 
 
 def _dense_sql(kind: CharacterClass) -> str:
@@ -235,7 +261,7 @@ def _dense_sql(kind: CharacterClass) -> str:
     return f"""
 SELECT r, kind, o, s + min(j) AS s, s + max(j) + {WINDOW} AS e
 FROM (SELECT r, kind, o, m, s, unnest(range(0, length(m) - {WINDOW} + 1)) AS j
-      FROM ({_matches_sql(kind.kind, kind.pattern)}) WHERE {allowed})
+      FROM ({_matches_sql(kind.kind, kind.pattern, text=_PLAIN_SQL)}) WHERE {allowed})
 WHERE list_aggregate(string_split(substring(m, CAST(j AS INTEGER) + 1, {WINDOW}), ''), 'entropy') + 1e-9 >= {kind.bits}
 GROUP BY r, kind, o, m, s"""
 

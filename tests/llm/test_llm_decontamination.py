@@ -81,6 +81,10 @@ def test_proximity_and_empty_tables(spark):
     index = decontamination.build_index(docs)
     assert decontamination.find_items(index, bench).collect() == []
     assert [r.doc_id for r in decontamination.find_items(index, bench, proximity=6).collect()] == [1]
+    # The next document's words are not near: two and three lie in one segment.
+    edges = spark.createDataFrame([(2, "x x gamma alpha"), (3, "beta x x"), (4, "beta gamma x alpha x")], "doc_id long, text string").coalesce(1)
+    near = decontamination.find_items(decontamination.build_index(edges), bench, proximity=3).collect()
+    assert [r.doc_id for r in near] == [4]
     nothing = decontamination.contamination(index, decontamination.find_items(index, bench.limit(0))).collect()
     assert sorted((r.doc_id, r.n_hit, r.contaminated) for r in nothing) == [(1, 0, False), (2, 0, False)]
     empty = decontamination.build_index(docs.limit(0))

@@ -18,8 +18,11 @@ def brute(text):
     spans = [(m.start(), 0, m.end()) for m in NAMED.finditer(text) if len(m[2]) >= 6]
     spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    plain = text
+    for word in S.PLACEHOLDERS:
+        plain = re.sub(S.any_case(word), " " * len(word), plain)
     for number, kind in enumerate(S.CLASSES, 3):
-        for m in re.finditer(kind.pattern, text):
+        for m in re.finditer(kind.pattern, plain):
             if any(re.search(p, m[0]) for p in S.ALLOWED):
                 continue
             windows = [m[0][i : i + S.WINDOW] for i in range(len(m[0]) - S.WINDOW + 1)]
@@ -36,6 +39,7 @@ def test_against_brute_force(spark):
     hexes, base = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     texts = [None, "", "plain wörds", "a" * 50000, "token = 'abc' secret: abcdef", 'token="token": "abcdefgh"']
     texts += ["PassWord:\x20\x20hunter22 é API_KEY=" + pick(base, 40), "AKIA" + pick("ABCDEF0123", 16) + " AKIA" + pick("ABC", 15)]
+    texts += ["example/" + pick(base, 40), pick(base, 30) + "Example" + pick(base, 30) + "abcdefghij", pick(base, 15) + "EXAMPLE" + pick(base, 15)]
     texts += ["x" * 30 + pick(base, 60) + "x" * 30, "EXAMPLE" + pick(base, 40), "0123456789" + pick(hexes, 30), pick(hexes, 23), pick(hexes, 24)]
     texts += [" é ".join(pick(hexes, draw.randint(10, 60)) + pick(base, draw.randint(0, 50)) for _ in range(9)) for _ in range(8)]
     texts += ["antidisestablishmentarianism " * 3, " ".join(pick(hexes, 30) for _ in range(1200)), "ſecret=abcdefgh"]
