@@ -37,8 +37,8 @@ def running_sums(
     """Add exclusive running sums of ``values`` per ``keys`` in ``order``.
 
     ``totals`` maps a value name to the name of an extra column holding the value's sum
-    over the whole key. With ``chunk=None`` the keys are known to be bounded (for
-    example by the package limits) and one window per key is used.
+    over the whole key. With ``chunk=None`` one window per key is used,
+    so a key's rows meet in one task, which spills what it cannot hold.
     """
     totals = totals or {}
     if chunk is None:

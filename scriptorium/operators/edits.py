@@ -238,7 +238,7 @@ def replace_in_runs(
     again per run, so neither long paragraphs nor many matches multiply.
     """
     check(find != "", "find must not be empty")
-    # A paragraph is at most one 16 MiB part, so one paragraph per group is bounded.
+    # Runs of one paragraph meet in a group; one task has parsed the part that holds it.
     keys = ["doc_id", "idx"]
     ordered = W.partitionBy(*keys).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     placed = runs.withColumn(

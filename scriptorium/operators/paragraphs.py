@@ -33,7 +33,7 @@ def info(paragraphs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     result = counts(paragraphs)
     if parts is None:
         return result
-    # At most 4096 entries per package, so the list is bounded.
+    # The entries of an archive, whose directory one task has read.
     names = parts.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "part"))).alias("_parts")
     )

@@ -1,7 +1,7 @@
 """Paragraphs, stories, runs, notes, blocks and edit guards of parsed packages.
 
-All groups are keyed by (document, part, ...). A part has at most 250 000 elements, so a
-group or window over one part is bounded by the reader's limits.
+All groups are keyed by (document, part, ...). A part has no limit here, but one task has parsed it
+whole, so a group or window over one part is no larger than what a task has held before.
 """
 
 from __future__ import annotations

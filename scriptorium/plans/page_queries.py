@@ -176,7 +176,7 @@ def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of a nation form chains: each is based on the one with a fifth of its key."""
+    """Customers of a nation form chains: each is based on the one whose key is 25 less."""
     customer = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
     made = customer.select(

@@ -37,7 +37,7 @@ def compare_batch(arrived: DataFrame, stored: DataFrame | None) -> tuple[DataFra
         F.row_number().over(by_version).alias("_nth"),
         (F.lead("version").over(by_version).isNull()).alias("_last"),
     )
-    # One row per paragraph; a version is one document, whose size its source limits.
+    # One row per paragraph of every version that has arrived.
     placed = cut(arrived.join(ranked, ["doc_id", "version"]))
     own = placed.select("doc_id", "_nth", "version", "idx", "text")
     before = own.where("_nth > 0").select("doc_id", (F.col("_nth") + 1).alias("_nth"), "idx", "text")
