@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import io
+import warnings
+import zipfile
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.lineage import stored
+from scriptorium.lineage import new_folder, stored
 from scriptorium.operators import formatting, inline, markdown, numbering, saving, search, structure, styles
 from scriptorium.operators import paragraphs as P
 from scriptorium.operators.composed import same_requests
 from scriptorium.plans.page_queries import BLOCKS_SQL, RUNS_SQL
 from scriptorium.plans.tables import lines, pages, table
 from scriptorium.plans.text_queries import LINES_SQL
-from scriptorium.schema import CONTENT_TYPE, REL, WORD_NS
+from scriptorium.schema import CONTENT_TYPE, DOCUMENT_PART, REL, WORD_NS
 from scriptorium.sinks import docx, html
 from scriptorium.sources import packages as S
 from scriptorium.sources import relationships as R
@@ -186,6 +189,61 @@ def docx_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(_stories(spark, sf_dir), "the", context_chars=10, scope="all")
 
 
+def _delivered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The packages of all documents as files below a folder, as a careless sender would leave them.
+
+    Two documents share a file name, in two folders. By the number of the document the extension is in
+    capitals, the file is cut short, an entry is there twice, the file is a document of another format, or
+    no document at all.
+    """
+    kind = F.col("doc_id") % 8
+    folder = F.when(F.col("doc_id") % 2 == 0, "north/").otherwise("south/old/")
+    extension = F.when(kind == 2, ".DOCM").when(kind == 5, ".rtf").when(kind == 6, ".txt").otherwise(".docx")
+    name = F.concat(folder, F.lit("report "), F.floor(F.col("doc_id") / 2).cast("string"), extension)
+    half = F.substring("content", F.lit(1), F.floor(F.octet_length("content") / 2).cast("int"))
+    files = _packages(spark, sf_dir).withColumn("content", F.when(kind == 3, half).otherwise(F.col("content")))
+
+    def doubled(batches):
+        for batch in batches:
+            twice = batch["doc_id"] % 8 == 4
+            batch.loc[twice, "content"] = [_twice(c) for c in batch.loc[twice, "content"]]
+            yield batch
+
+    files = files.mapInPandas(doubled, files.schema)
+    directory = new_folder(spark)
+    manifest = docx.write_packages(files.withColumn("name", name), directory, name="name")
+    return manifest, directory
+
+
+def _twice(content: bytes) -> bytes:
+    """The archive with its first entry there a second time."""
+    buffer = io.BytesIO(content)
+    with zipfile.ZipFile(buffer, "a") as archive, warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        first = archive.infolist()[0]
+        archive.writestr(first.filename, archive.read(first))
+    return buffer.getvalue()
+
+
+_FILE = r"(?:north|south/old)/[^/]*$"
+
+
+def docx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of all packages found below a folder, by their file's path below it."""
+    _, directory = _delivered(spark, sf_dir)
+    found = S.scan_packages(spark, directory, names=[DOCUMENT_PART])
+    listed = structure.listing(N.accepted(N.ingest_nodes(found.parts, _BODY)))
+    path = F.regexp_extract(F.url_decode(F.replace("doc_id", F.lit("+"), F.lit("%2B"))), _FILE, 0)
+    return listed.select(path.alias("file"), "idx", "text")
+
+
+def docx_scan_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, directory = _delivered(spark, sf_dir)
+    found = S.scan_packages(spark, directory, names=[DOCUMENT_PART])
+    path = F.regexp_extract(F.url_decode(F.replace("doc_id", F.lit("+"), F.lit("%2B"))), _FILE, 0)
+    return found.rejects.select(path.alias("file"), "reason")
+
+
 def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = _read(spark, sf_dir, [".*\\.rels", "word/document\\.xml", "word/footnotes\\.xml"])
     return structure.stories(read.nodes, read.rels)
@@ -269,6 +327,8 @@ QUERIES = {
     "docx_part_text": docx_part_text,
     "docx_relationships": docx_relationships,
     "docx_notes": docx_notes,
+    "docx_scan": docx_scan,
+    "docx_scan_refused": docx_scan_refused,
     "docx_saved": docx_saved,
     "docx_saved_parts": docx_saved_parts,
     "docx_saved_refused": docx_saved_refused,
@@ -284,6 +344,9 @@ QUERIES = {
     "html_preview": html_preview,
 }
 
+_FILES = """files AS (SELECT doc_id, doc_id % 8 AS k,
+  CASE WHEN doc_id % 2 = 0 THEN 'north/' ELSE 'south/old/' END || 'report ' || doc_id // 2 ||
+  CASE doc_id % 8 WHEN 2 THEN '.DOCM' WHEN 5 THEN '.rtf' WHEN 6 THEN '.txt' ELSE '.docx' END AS file FROM documents)"""
 # Requests are refused in their order; replacements, which concern all paragraphs, after the others.
 _LOCKED, _ANCHORED = "inside a revision or a content control", "ranges begin or end here"
 _REFUSED_SAVES = f"""firsts AS (
@@ -322,6 +385,10 @@ sizes AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM lines GROUP BY doc_
 SQL = {
     "docx_roundtrip": f"""WITH {LINES_SQL}, {_STYLED}
 SELECT doc_id, idx, text, "style", FALSE AS in_table FROM styled""",
+    "docx_scan": f"""WITH {LINES_SQL}, {_FILES}
+SELECT file, idx, text FROM lines JOIN files USING (doc_id) WHERE k NOT IN (3, 4, 5, 6)""",
+    "docx_scan_refused": f"""WITH {_FILES} SELECT file, CASE k WHEN 3 THEN 'not a readable archive'
+  WHEN 4 THEN 'two entries of one name' ELSE 'a document, but not a package' END AS reason FROM files WHERE k IN (3, 4, 5)""",
     "docx_saved": f"""WITH {LINES_SQL}, {_STYLED}, {_REFUSED_SAVES},
 edited AS (
   SELECT doc_id, 0 AS idx, 'A & B title in ' || lang AS text, 'Part' AS "style", first LIKE 'S%' AS in_table

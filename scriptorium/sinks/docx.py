@@ -244,6 +244,10 @@ def packages_of(xml: DataFrame, extra: Sequence[Part] = ()) -> Written:
     return Written(bodies.mapInPandas(compress, schema), rejects)
 
 
+#: Why all but one of files for one place are refused: by their id, or by the name given.
+_TAKEN = ("another document has this id", "another document has this name")
+
+
 def file_name(doc_id: object) -> str:
     """A file name for a document id: its whole text, escaped, so that no two ids share one.
 
@@ -256,10 +260,11 @@ def file_name(doc_id: object) -> str:
     return f"{name}.docx"
 
 
-def write_packages(files: DataFrame, directory: str, overwrite: bool = False) -> DataFrame:
+def write_packages(files: DataFrame, directory: str, overwrite: bool = False, name: str | None = None) -> DataFrame:
     """Write ``files(doc_id, content)`` below ``directory``; returns the manifest.
 
-    ``directory`` is any URI Arrow can open. A file is written under a temporary name and
+    A file is named after its ``doc_id``, or by the column ``name``: a path below ``directory``, which is
+    then what no two files may share. ``directory`` is any URI Arrow can open. A file is written under a temporary name and
     moved into place; archives are deterministic, so a retried or duplicated task leaves
     the same file. Without ``overwrite`` a different file in the way is kept and reported.
     Documents with the same id are refused, all but one, rather than written over each other.
@@ -272,9 +277,9 @@ def write_packages(files: DataFrame, directory: str, overwrite: bool = False) ->
         system, root = pafs.FileSystem.from_uri(directory)
         for batch in batches:
             rows = []
-            for doc_id, content, number in zip(batch["doc_id"], batch["content"], batch["_number"]):
-                path = f"{root}/{file_name(doc_id)}"
-                reason = "another document has this id" if number > 1 else _place(system, path, content, overwrite)
+            for doc_id, content, below, number in zip(batch["doc_id"], batch["content"], batch["_name"], batch["_number"]):
+                path = f"{root}/{file_name(doc_id) if below is None else below}"
+                reason = _TAKEN[below is not None] if number > 1 else _place(system, path, content, overwrite)
                 rows.append((doc_id, path, reason is None, reason))
             yield pd.DataFrame(rows, columns=["doc_id", "path", "written", "reason"])
 
@@ -289,8 +294,9 @@ def write_packages(files: DataFrame, directory: str, overwrite: bool = False) ->
     system, root = pafs.FileSystem.from_uri(directory)
     system.create_dir(root, recursive=True)
     manifest = f"{directory}/_manifest/{uuid.uuid4().hex}"
-    same = W.partitionBy("doc_id").orderBy(F.xxhash64("content"))
-    numbered = files.select("doc_id", "content", F.row_number().over(same).alias("_number"))
+    named = files.select("doc_id", "content", (F.lit(None).cast("string") if name is None else F.col(name)).alias("_name"))
+    same = W.partitionBy("doc_id" if name is None else "_name").orderBy(F.xxhash64("content"))
+    numbered = named.select("*", F.row_number().over(same).alias("_number"))
     numbered.mapInPandas(write, schema).write.parquet(manifest)
     return files.sparkSession.read.schema(schema).parquet(manifest)
 
@@ -303,6 +309,7 @@ def _place(system: pafs.FileSystem, path: str, content: bytes, overwrite: bool)
             same = stream.read() == content
         if same or not overwrite:
             return None if same else "a different file is there"
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(temporary) as stream:
         stream.write(content)
