@@ -153,6 +153,47 @@ def _marked_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.packages_of(blocks, EXTRA).packages
 
 
+def _run(text: str) -> str:
+    return f'<w:r><w:t xml:space="preserve">{text}</w:t></w:r>'
+
+
+def _field(instruction: str, shown: str | None) -> str:
+    """A field in its long form; with nothing shown it has no separator either."""
+    mark = lambda kind: f'<w:r><w:fldChar w:fldCharType="{kind}"/></w:r>'
+    code = f'<w:r><w:instrText xml:space="preserve">{instruction}</w:instrText></w:r>'
+    return mark("begin") + code + ("" if shown is None else mark("separate") + shown) + mark("end")
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> Read:
+    """Every line with what its ordinal adds: a link by a field, a field within such a link, a reference to the
+    footnote, a field that shows nothing, an end of a field that never began; lines with an S lie in a table."""
+    base = lines(spark, sf_dir)
+    number, doc = F.col("idx").cast("string"), F.col("doc_id").cast("string")
+    filled = lambda xml: F.replace(F.replace(F.lit(xml), F.lit("{doc}"), doc), F.lit("{idx}"), number)
+    added = {
+        1: _run(" ") + _field('HYPERLINK "https://x.test/{doc}?line={idx}"', _run("line {idx}")),
+        2: _run(" ") + _field('HYPERLINK "https://x.test/{doc}" \\l "p{idx}"', _run("page ") + _field("PAGE", _run("{idx}2"))),
+        3: '<w:r><w:footnoteReference w:id="1"/></w:r>',
+        5: _field("SEQ hidden", None),
+        6: '<w:r><w:fldChar w:fldCharType="end"/></w:r>',
+    }
+    tail = F.lit("")
+    for place, xml in added.items():
+        tail = F.when((F.col("idx") % 7 == place) & (F.trim("text") != ""), filled(xml)).otherwise(tail)
+    blocks = docx.paragraph_xml(base).join(base, ["doc_id", "idx"])
+    whole = F.concat(F.expr("left(xml, length(xml) - 6)"), tail, F.lit("</w:p>"))
+    cell = F.concat(F.lit("<w:tbl><w:tr><w:tc>"), whole, F.lit("</w:tc></w:tr></w:tbl>"))
+    xml = F.when(F.col("text").startswith("S"), cell).otherwise(whole)
+    parts = S.open_packages(docx.packages_of(blocks.select("doc_id", "idx", xml.alias("xml")), EXTRA).packages).parts
+    nodes = stored(N.accepted(N.ingest_nodes(parts)))
+    return Read(parts, nodes, R.relationships(nodes))
+
+
+def docx_linked_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _linked(spark, sf_dir)
+    return markdown.markdown(read.nodes, read.rels).select("doc_id", "markdown")
+
+
 def _saved(spark: SparkSession, sf_dir: str) -> saving.Saved:
     """Six requests for every package, each on what the one before left: a title before the first
     paragraph, the second line away, a word replaced everywhere and a letter in the first line, its
@@ -327,6 +368,7 @@ QUERIES = {
     "docx_part_text": docx_part_text,
     "docx_relationships": docx_relationships,
     "docx_notes": docx_notes,
+    "docx_linked_markdown": docx_linked_markdown,
     "docx_scan": docx_scan,
     "docx_scan_refused": docx_scan_refused,
     "docx_saved": docx_saved,
@@ -385,6 +427,17 @@ sizes AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n FROM lines GROUP BY doc_
 SQL = {
     "docx_roundtrip": f"""WITH {LINES_SQL}, {_STYLED}
 SELECT doc_id, idx, text, "style", FALSE AS in_table FROM styled""",
+    "docx_linked_markdown": f"""WITH {LINES_SQL}, shown AS (
+  SELECT doc_id, idx, text LIKE 'S%' AS cell, regexp_replace(text, '([\\\\*_`\\[\\]])', '\\\\\\1', 'g') ||
+    CASE idx % 7 WHEN 1 THEN ' [line ' || idx || '](https://x.test/' || doc_id || '?line=' || idx || ')'
+      WHEN 2 THEN ' [page ' || idx || '2](https://x.test/' || doc_id || '#p' || idx || ')' WHEN 3 THEN '[^1]' ELSE '' END AS e
+  FROM lines WHERE trim(text, {_BLANK}) <> ''),
+entries AS (SELECT doc_id, idx,
+  CASE WHEN cell THEN '| ' || trim(replace(e, '|', '\\|'), {_BLANK}) || ' |' || chr(10) || '| --- |' ELSE rtrim(e, {_BLANK}) END AS f FROM shown),
+texts AS (SELECT doc_id, string_agg(f, chr(10) || chr(10) ORDER BY idx) AS body FROM entries GROUP BY doc_id),
+noted AS (SELECT DISTINCT doc_id FROM shown WHERE idx % 7 = 3)
+SELECT doc_id, coalesce(body, '') || CASE WHEN n.doc_id IS NULL THEN '' ELSE chr(10) || chr(10) || '[^1]: The note on the page.' END AS markdown
+FROM documents LEFT JOIN texts USING (doc_id) LEFT JOIN noted n USING (doc_id)""",
     "docx_scan": f"""WITH {LINES_SQL}, {_FILES}
 SELECT file, idx, text FROM lines JOIN files USING (doc_id) WHERE k NOT IN (3, 4, 5, 6)""",
     "docx_scan_refused": f"""WITH {_FILES} SELECT file, CASE k WHEN 3 THEN 'not a readable archive'
