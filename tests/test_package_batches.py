@@ -5,8 +5,10 @@ import random
 import zipfile
 
 import pyarrow as pa
-from documents import NUMBERING
+from documents import NUMBERING, guide, parsed
 
+from scriptorium.lineage import stored
+from scriptorium.operators import numbering, structure, styles
 from scriptorium.schema import DOCUMENT_PART
 from scriptorium.sinks import docx
 from scriptorium.sources import packages as S
@@ -52,3 +54,15 @@ def test_packages_take_one_shuffle(spark):
     parts = S.open_packages(written.packages).parts.where(f"part = '{DOCUMENT_PART}'").collect()
     assert [row.doc_id for row in parts] == [1]
     assert b"<w:p>a</w:p><w:p>b</w:p>" in bytes(parts[0].bytes)
+
+
+def test_styles_and_levels_read_the_elements_once(spark):
+    nodes, rels = parsed(spark, guide())
+    nodes, rels = stored(nodes), stored(rels)
+
+    def scans(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+        return sum("FileScan" in line and "is_word#" in line and "part#" in line for line in plan)
+
+    assert scans(styles.resolve(structure.body_paragraphs(nodes), nodes, rels)) == 1
+    assert scans(numbering.num_levels(nodes, rels)) == 0
