@@ -9,6 +9,7 @@ from documents import NUMBERING, guide, parsed
 
 from scriptorium.lineage import stored
 from scriptorium.operators import numbering, structure, styles
+from scriptorium.plans import package_queries
 from scriptorium.schema import DOCUMENT_PART
 from scriptorium.sinks import docx
 from scriptorium.sources import packages as S
@@ -76,3 +77,11 @@ def test_many_small_files_share_tasks(spark, tmp_path):
     found = S.scan_packages(spark, str(tmp_path))
     assert found.parts.rdd.getNumPartitions() <= 8 * cores < files.rdd.getNumPartitions()
     assert found.rejects.count() == files.count()
+
+
+def test_info_writes_the_packages_once(spark):
+    documents = "/root/testdata/sf0.001"
+    plan = package_queries.docx_info(spark, documents)._jdf.queryExecution().executedPlan().toString()
+    # What is left to do is opening the stored packages twice and parsing the bodies.
+    assert plan.count("MapInPandas") == 2 and plan.count("MapInArrow") == 1
+    assert "documents.parquet" not in plan
