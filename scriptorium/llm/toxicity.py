@@ -43,7 +43,9 @@ ORDER, SHARED = 7, 3
 SAMPLE_DOCS, SAMPLE_BYTES = 4000, 1 << 16
 #: Of each class's sample, the share in 64ths that fits the curve instead of the counts.
 CURVE_SHARE = 16
-SCORE_BYTES = 8 << 20
+SCORE_BYTES = 4 << 20
+#: Symbols whose n-grams are looked up together; their arrays take about 300 bytes a symbol.
+PIECE = 1 << 17
 #: Evidence of a single word, in nats, beyond which it counts as telling.
 STRONG = 3.0
 #: Symbols: 0 before a word, 1 after it, then the bytes that words have.
@@ -86,6 +88,16 @@ def spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Spelling
     return Spelling(symbols, depth + 1, begins)
 
 
+def pieces(words: Spelling) -> Iterator[Spelling]:
+    """The words in order, of which some with about ``PIECE`` symbols at a time; a longer word stays whole."""
+    ends = np.append(words.begins[1:], len(words.symbols))
+    cuts = np.searchsorted(ends, np.arange(PIECE, len(words.symbols), PIECE))
+    bounds = np.unique(np.concatenate(([0], cuts, [len(words.begins)])))
+    for first, after in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        held = slice(words.begins[first], ends[after - 1])
+        yield Spelling(words.symbols[held], words.depth[held], words.begins[first:after] - words.begins[first])
+
+
 def grams(words: Spelling, order: int) -> list[np.ndarray]:
     """Keys of the n-grams of 1 to ``order`` symbols that end at each place, exact up to SHARED.
 
@@ -261,8 +273,9 @@ class Model:
 
     def evidence(self, words: Spelling) -> np.ndarray:
         """Log-likelihood of each word as toxic less that as ordinary."""
-        if not len(words.begins):
-            return np.zeros(0)
+        return np.concatenate([np.zeros(0), *[self._evidence(part) for part in pieces(words)]])
+
+    def _evidence(self, words: Spelling) -> np.ndarray:
         keys = grams(words, ORDER)
         before = np.concatenate([[0], words.symbols[:-1]])
         p = np.repeat(self.bigram[before + 1, words.symbols + 1][:, None], 2, axis=1)
