@@ -79,9 +79,14 @@ def test_many_small_files_share_tasks(spark, tmp_path):
     assert found.rejects.count() == files.count()
 
 
-def test_info_writes_the_packages_once(spark):
-    documents = "/root/testdata/sf0.001"
-    plan = package_queries.docx_info(spark, documents)._jdf.queryExecution().executedPlan().toString()
+def test_info_writes_the_packages_once(spark, tmp_path):
+    rows = [(1, "one line\nand another"), (2, ""), (3, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    info = package_queries.docx_info(spark, str(tmp_path))
+    counted = {row.doc_id: (row.paragraph_count, row.character_count, len(row.parts)) for row in info.collect()}
+    assert counted == {1: (2, 19, 7), 2: (1, 0, 7), 3: (1, 1, 7)}
+    plan = info._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
     # What is left to do is opening the stored packages twice and parsing the bodies.
     assert plan.count("MapInPandas") == 2 and plan.count("MapInArrow") == 1
     assert "documents.parquet" not in plan
