@@ -19,7 +19,7 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = documents.select(
         "doc_id", F.concat(F.lit("~"), "text", F.lit("\n~tail~")).alias("text"), F.lit(1).alias("version")
     )
-    first.unionByName(second).write.parquet(f"{work}/arrivals")
+    first.unionByName(second).write.parquet(f"{work}/arrivals", compression="zstd")
     arrivals = spark.readStream.schema("doc_id bigint, text string, version int").parquet(f"{work}/arrivals")
     start(arrivals, f"{work}/store", f"{work}/progress").awaitTermination()
     return read_changes(spark, f"{work}/store", "bigint").drop("batch")

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scriptorium.lineage import cut
-from scriptorium.operators.diff import diff
+from scriptorium.lineage import removed, scope, stored, swept
+from scriptorium.operators.diff import described, hashed, new_places, old_places, places, rounds, texts_of
 from scriptorium.sources.text import text_paragraphs
 
 
@@ -21,49 +21,50 @@ def document_lines(batch: DataFrame) -> DataFrame:
     return lines.select("doc_id.doc_id", "doc_id.version", "idx", "text")
 
 
-def compare_batch(arrived: DataFrame, stored: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Changes of a batch of versions, and the snapshots that replace the stored ones.
+def compare_batch(arrived: DataFrame, kept: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Changes of a batch of versions, and ``(doc_id, version)`` of the last version of each document.
 
     ``arrived(doc_id, version, idx, text)`` may hold several versions of a document; each is
-    compared with the one before it, the first with ``stored(doc_id, idx, text)``. All pairs
+    compared with the one before it, the first with the snapshots ``kept(doc_id, idx, text)``. All pairs
     are compared in one plan, keyed by document and place in the batch. The first version
-    ever seen of a document is only stored.
+    ever seen of a document is only stored. Texts take part as hashes; those of what differs are read again.
     """
-    versions = arrived.select("doc_id", "version").distinct()
+    hashes = hashed(arrived)
     by_version = W.partitionBy("doc_id").orderBy("version")
-    ranked = versions.select(
-        "doc_id",
-        "version",
-        F.row_number().over(by_version).alias("_nth"),
-        (F.lead("version").over(by_version).isNull()).alias("_last"),
+    ranked = stored(
+        hashes.select("doc_id", "version").distinct().select(
+            "doc_id",
+            "version",
+            F.row_number().over(by_version).alias("_nth"),
+            (F.lead("version").over(by_version).isNull()).alias("_last"),
+        )
     )
     # One row per paragraph of every version that has arrived.
-    placed = cut(arrived.join(ranked, ["doc_id", "version"]))
-    own = placed.select("doc_id", "_nth", "version", "idx", "text")
-    before = own.where("_nth > 0").select("doc_id", (F.col("_nth") + 1).alias("_nth"), "idx", "text")
-    if stored is not None:
-        before = before.unionByName(stored.select("doc_id", F.lit(1).alias("_nth"), "idx", "text"))
+    own = stored(hashes.join(ranked, ["doc_id", "version"]).select("doc_id", "_nth", "idx", "text"), "zstd")
+    before = own.select("doc_id", (F.col("_nth") + 1).alias("_nth"), "idx", "text")
+    texts = arrived.select("doc_id", "idx", "text")
+    if kept is not None:
+        before = before.unionByName(hashed(kept).select("doc_id", F.lit(1).alias("_nth"), "idx", "text"))
+        texts = texts.unionByName(kept)
     pairs = before.select("doc_id", "_nth").distinct()
-    names = ranked.join(pairs, ["doc_id", "_nth"]).select(
-        F.concat_ws(":", "_nth", F.col("doc_id").cast("string")).alias("_pair"), "doc_id", "version"
-    )
+    pair = F.concat_ws(":", "_nth", F.col("doc_id").cast("string"))
+    names = stored(ranked.join(pairs, ["doc_id", "_nth"]).select(pair.alias("_pair"), "doc_id", "version"))
 
     def keyed(side: DataFrame) -> DataFrame:
-        pair = F.concat_ws(":", "_nth", F.col("doc_id").cast("string"))
-        return side.join(names.select("_pair"), pair == F.col("_pair"), "left_semi").select(
-            pair.alias("doc_id"), "idx", "text"
-        )
+        wanted = names.select(F.col("_pair").alias("_wanted"))
+        return side.join(wanted, pair == F.col("_wanted"), "left_semi").select(pair.alias("doc_id"), "idx", "text")
 
-    found = diff(cut(keyed(before)), cut(keyed(own)))
-    changes = found.withColumnRenamed("doc_id", "_pair").join(names, "_pair").drop("_pair")
-    return changes, placed.where("_last").select("doc_id", "idx", "text")
+    placed = places(stored(keyed(before), "zstd"), stored(keyed(own), "zstd"))
+    placed = stored(placed.withColumnRenamed("doc_id", "_pair").join(names, "_pair").drop("_pair"), "zstd")
+    found = texts_of(texts, old_places(placed).unionByName(new_places(placed)))
+    return described(placed, found, found), ranked.where("_last").select("doc_id", "version")
 
 
 def last_snapshots(snapshots: DataFrame, arrived: DataFrame) -> DataFrame:
     """The newest stored snapshot of each document that arrived."""
-    wanted = snapshots.join(arrived.select("doc_id").distinct(), "doc_id", "left_semi")
-    newest = wanted.groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return wanted.join(newest, ["doc_id", "batch"], "left_semi").select("doc_id", "idx", "text")
+    ids = arrived.select("doc_id").distinct()
+    newest = stored(snapshots.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("batch").alias("batch")))
+    return snapshots.join(newest, ["doc_id", "batch"], "left_semi").select("doc_id", "idx", "text")
 
 
 def stream_changes(
@@ -77,21 +78,26 @@ def stream_changes(
     ``paragraphs`` turns a micro-batch into ``(doc_id, version, idx, text)``. Each batch
     writes ``changes/batch=N`` and ``snapshots/batch=N`` below ``store``, overwriting them when
     it is replayed after a failure and reading only earlier batches, so results are exactly
-    once. Snapshots are append-only; the newest batch of a document counts.
+    once. Snapshots are append-only; the newest batch of a document counts. A batch is read
+    several times rather than kept, which any source that can be replayed allows.
     """
     doc_type = arrivals.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, idx int, text string, batch bigint"
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        arrived = cut(paragraphs(batch))
-        stored = None
-        if batch_id > 0:
-            kept = spark.read.schema(schema).parquet(f"{store}/snapshots")
-            stored = last_snapshots(kept.where(F.col("batch") < batch_id), arrived)
-        changes, snapshots = compare_batch(arrived, stored)
-        changes.write.mode("overwrite").parquet(f"{store}/changes/batch={batch_id}")
-        snapshots.write.mode("overwrite").parquet(f"{store}/snapshots/batch={batch_id}")
+        with swept(spark), scope(spark) as folder:
+            arrived, kept = paragraphs(batch), None
+            if batch_id > 0:
+                earlier = spark.read.schema(schema).parquet(f"{store}/snapshots").where(F.col("batch") < batch_id)
+                kept = stored(last_snapshots(earlier, arrived), "zstd")
+            changes, last = compare_batch(arrived, kept)
+            changes.write.mode("overwrite").parquet(f"{store}/changes/batch={batch_id}", compression="zstd")
+            for number, (own, of) in enumerate(zip(rounds(arrived), rounds(last))):
+                snapshots = own.join(of, ["doc_id", "version"], "left_semi").select("doc_id", "idx", "text")
+                mode = "append" if number else "overwrite"
+                snapshots.write.mode(mode).parquet(f"{store}/snapshots/batch={batch_id}", compression="zstd")
+        removed(spark, folder)
 
     return (
         arrivals.writeStream.foreachBatch(process)

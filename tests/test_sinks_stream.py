@@ -120,6 +120,26 @@ def test_change_feed(spark, tmp_path):
     assert seen() == second + third
 
 
+def test_change_feed_leaves_no_working_tables(spark, tmp_path):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from scriptorium.lineage import shared_folder
+
+    folder = Path(urlparse(shared_folder(spark)).path)
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    schema = "doc_id string, text string, version int"
+    whole = "\n".join(f"{i} " + f"line {i} " * 300 for i in range(200))
+    spark.createDataFrame([("a", whole, 0), ("a", whole + "!", 1), (None, "x", 0)], schema).write.parquet(f"{tmp_path}/in")
+    before = held()
+    stream_changes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/store", f"{tmp_path}/progress").awaitTermination()
+    assert held() - before < 50_000
+    found = read_changes(spark, f"{tmp_path}/store", "string").collect()
+    assert [(r.doc_id, r.version, r.type, r["index"]) for r in found] == [("a", 1, "changed", 199)]
+    kept = spark.read.parquet(f"{tmp_path}/store/snapshots").where("doc_id = 'a'").orderBy("idx").collect()
+    assert "\n".join(r.text for r in kept) == whole + "!"
+
+
 def test_shipped_package_is_whole(spark):
     import zipfile
 
