@@ -90,3 +90,29 @@ def test_info_writes_the_packages_once(spark, tmp_path):
     # What is left to do is opening the stored packages twice and parsing the bodies.
     assert plan.count("MapInPandas") == 2 and plan.count("MapInArrow") == 1
     assert "documents.parquet" not in plan
+
+
+def test_scan_is_listed_by_tasks_as_spark_would(spark, tmp_path):
+    root = tmp_path / "in box"
+    names = [
+        "a b+c%20#1.docx", "é 🍎 ü?.DOCM", "q'\"<>[x]{y}|^`~;,=&@!$().docx", "_hid.docx", ".hid.docx", "_a=b.docx", "x.docx._COPYING_",
+        "deep/_no/x.docx", "deep/.no/x.docx", "deep/er/y\\z.dotx", "deep/er/old.RTF", "no.txt", "docx", ".docx", "folder.docx/in.docx",
+    ]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode())
+    (root / "empty").mkdir()
+
+    def by_spark(extensions):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        return {r.path for r in reader.option("pathGlobFilter", S.package_glob(extensions)).load(str(root)).collect()}
+
+    found = S.scan_packages(spark, f"file://{tmp_path}/in box")
+    refused = {r.doc_id: r.reason for r in found.rejects.collect()}
+    assert {d for d, r in refused.items() if r == "not a readable archive"} == by_spark(S.PACKAGE_EXTENSIONS)
+    assert {d for d, r in refused.items() if r == "a document, but not a package"} == by_spark(["doc", "rtf"])
+    assert {r.doc_id for r in S.scan_packages(spark, str(root)).rejects.collect()} == set(refused)
+    assert "binaryFile" not in found.rejects._jdf.queryExecution().executedPlan().toString()
+    # One file alone and a pattern are Spark's to find.
+    one = S.scan_packages(spark, f"{tmp_path}/in*/_a=b.docx").rejects.collect()
+    assert len(one) == 1
